@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import licenses, lines, packing
+from threadloom.llm import credentials, jaccard, licenses, lines, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document: those that stand alone, and all with the linked weak parts."""
+    found = credentials.scan_secrets(_table(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("secrets", lambda x: x["kind"].isin(*credentials.KINDS[:3]))
+    linked = F.size(F.filter("secrets", lambda x: x["partner"] >= 0)).cast("long")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), linked.alias("n_linked"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document by the digest of its whole canonical text, and by its lines that are known notices."""
     found = licenses.scan_licenses(_table(spark, sf_dir).select("doc_id", "text"))
@@ -25,6 +35,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document: three-word shingles, similarity of 0.9 or more."""
+    return jaccard.jaccard_components(_table(spark, sf_dir).select("doc_id", "text"), words=3, percent=90)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's counts and the verdict for every document."""
     return lines.quality_rules(_table(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
@@ -37,8 +52,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_license_scan": op2_license_scan,
         "op4_packing": op4_packing,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_quality_rules": op6_quality_rules,
         "op8_line_dedup": op8_line_dedup,
     }
