@@ -35,7 +35,8 @@ REGION_ROWS = 4096
 BROADCAST_ROWS = 400_000
 PIVOTS = 8
 SPLIT_PIVOTS = 48
-MAX_DEPTH = 4
+#: Cells go on splitting while the rows in those that are too large fall to this share.
+LEAST_PROGRESS = 0.7
 
 
 def band_edges(largest: int, num: int, den: int) -> list[int]:
@@ -199,7 +200,7 @@ def _edges(classes: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(H.signed(classes[own])), pa.array(H.signed(root[own]))], ["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, region_rows: int = REGION_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, region_rows: int = REGION_ROWS, split_pivots: int = SPLIT_PIVOTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """id_col, n_shingles (long), component_id: one row for each row of docs.
 
     Sets of word shingles (A-Z lower-cased; a text with fewer words is one shingle) are linked when 100 * intersection >=
@@ -234,7 +235,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     regions = keyed(bits).join(shared, "key").select("pivot", "cls").distinct()
     first = rows.where(F.col("id").isNotNull()).groupBy("cls").agg(F.min("id").alias("id"))
     regions = shared_table(regions.join(first, "cls"), "jaccard-regions")
-    edges = _solve(data, regions, words, num, den, region_rows, broadcast_rows)
+    edges = _solve(data, regions, words, num, den, region_rows, split_pivots, broadcast_rows)
     labels = components(edges)
     named = rows.join(labels, rows["cls"] == labels["node"], "left").select("id", "n", F.coalesce("component", "cls").alias("component"))
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
@@ -246,10 +247,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def _with_text(data: DataFrame, regions: DataFrame, broadcast_rows: int) -> DataFrame:
     """regions (with id) and their members' texts: by a broadcast up to broadcast_rows, else by a shuffle of the texts."""
     side = F.broadcast(regions) if regions.count() <= broadcast_rows else regions
-    return data.join(side, "id").drop("id")
+    return data.join(side, "id")
 
 
-def _solve(data: DataFrame, regions: DataFrame, words: int, num: int, den: int, region_rows: int, broadcast_rows: int) -> DataFrame:
+def _solve(data: DataFrame, regions: DataFrame, words: int, num: int, den: int, region_rows: int, split_pivots: int, broadcast_rows: int) -> DataFrame:
     """Edges (a, b) between classes that connect what links connect, from regions (pivot, cls, id)."""
 
     def small(batches):
@@ -258,31 +259,32 @@ def _solve(data: DataFrame, regions: DataFrame, words: int, num: int, den: int,
             if len(ids) > 1:
                 yield _edges(ids, connect(sets, num, den))
 
-    found, depth = [], 0
+    found, rows = [], None
     while True:
         sized = regions.join(regions.groupBy("pivot").agg(F.count("*").alias("size")), "pivot")
         near = _with_text(data, sized.where(F.col("size") <= region_rows).drop("size"), broadcast_rows)
         found.append(shared_table(near.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(small, "a long, b long"), "jaccard-edges"))
         large = sized.where(F.col("size") > region_rows)
-        if large.isEmpty():
+        left = large.count()
+        if not left:
             break
-        if depth == MAX_DEPTH:
+        if rows is not None and left > rows * LEAST_PROGRESS:
             found.append(_chunks(data, large, words, num, den, region_rows, broadcast_rows))
             break
-        more, regions = _split(data, large, words, num, den, region_rows, broadcast_rows)
+        rows = left
+        more, regions = _split(data, large, words, num, den, region_rows, split_pivots, broadcast_rows)
         found.append(more)
-        depth += 1
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
     return out
 
 
-def _split(data: DataFrame, large: DataFrame, words: int, num: int, den: int, region_rows: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+def _split(data: DataFrame, large: DataFrame, words: int, num: int, den: int, region_rows: int, split_pivots: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
     """Edges to pivots, and the Voronoi cells with their boundary members as regions (pivot, cls, id).
 
     A cell's name hashes the region's and the pivot's. Each task has a chunk of region_rows members and all pivots."""
-    pivots = _least(large, SPLIT_PIVOTS)
+    pivots = _least(large, split_pivots)
     chunk = F.pmod(F.xxhash64("cls", F.lit(1)), F.ceil(F.col("size") / region_rows))
     members = large.withColumn("chunk", chunk).withColumn("is_pivot", F.lit(False))
     spread = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / region_rows) - 1))).withColumn("is_pivot", F.lit(True))
