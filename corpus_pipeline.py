@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import lines, packing
+from threadloom.llm import credentials, jaccard, lines, packing
 from threadloom.llm.shared import shared_table
 
 
@@ -19,12 +19,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.drop_frequent_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: of documents that shingles of five words link at a similarity of 0.8 or more, one stays."""
+    return jaccard.one_of_each(docs, words=5, percent=80)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: secrets give way to a mark; n_chars follows the text."""
+    return credentials.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: a place in a batch for every document that is left."""
     return packing.pack(docs)
 
 
-STAGES = [("quality", quality), ("line_dedup", line_dedup), ("packing", packed)]
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packed)]
 
 #: Dynamic programming has no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

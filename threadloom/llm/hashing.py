@@ -119,9 +119,10 @@ def shingles(hashes: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray
     return out, out_begins
 
 
-def window_minima(values: np.ndarray, begins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_minima(values: np.ndarray, begins: np.ndarray, width: int, span: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all windows of width values inside one part (parts begin at begins): where the least value is, leftmost on ties.
 
+    span: what a window covers in the numbering of begins, width unless given; the last part ends where the last window does.
     Returned by runs of windows that share it: (place of the least value, first window, last window)."""
     n = len(values)
     if n < width:
@@ -130,8 +131,8 @@ def window_minima(values: np.ndarray, begins: np.ndarray, width: int) -> tuple[n
         step = (1 << _PLACE_BITS) - width
         found = []
         for a in range(0, n - width + 1, step):
-            inside = begins[(begins > a) & (begins < a + step + width - 1)] - a
-            found.append([x + a for x in window_minima(values[a : a + step + width - 1], np.append(0, inside), width)])
+            inside = begins[(begins > a) & (begins < a + step - 1 + (span or width))] - a
+            found.append([x + a for x in window_minima(values[a : a + step + width - 1], np.append(0, inside), width, span)])
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     shift = U(_PLACE_BITS)
     packed = (values >> shift << shift) | np.arange(n, dtype=U)
@@ -141,8 +142,9 @@ def window_minima(values: np.ndarray, begins: np.ndarray, width: int) -> tuple[n
     right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(right[: n - width + 1], left[width - 1 : n])
     at = (least & ((U(1) << shift) - U(1))).astype(np.int64)
+    span = span or width
     part = np.searchsorted(begins, np.arange(n - width + 1), "right")
-    whole = np.flatnonzero(np.arange(n - width + 1) + width <= np.append(begins, n)[part])
+    whole = np.flatnonzero(np.arange(n - width + 1) + span <= np.append(begins, n - width + span)[part])
     at = at[whole]
     if not len(at):
         return (np.zeros(0, np.int64),) * 3

@@ -244,6 +244,21 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(linked, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """docs without the texts that links connect with a smaller id: one document of each component stays.
+
+    Rows with one id count as one document; of rows that repeat id and text, one stays. Texts without words and rows with
+    a null id all stay. Which ids go is written down, counted, and joined by a broadcast or, if they are many, a shuffle."""
+    found = shared_table(jaccard_components(docs, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **options), "jaccard-components")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    left = docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, id_col, "left_anti").select(*docs.columns)
+    again = shared_table(found.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "jaccard-repeated-ids")
+    if again.isEmpty():
+        return left
+    twice = left.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col])
+    return left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(twice)
+
+
 def _with_text(data: DataFrame, regions: DataFrame, broadcast_rows: int) -> DataFrame:
     """regions (with id) and their members' texts: by a broadcast up to broadcast_rows, else by a shuffle of the texts."""
     side = F.broadcast(regions) if regions.count() <= broadcast_rows else regions

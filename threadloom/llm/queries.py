@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import credentials, jaccard, licenses, lines, packing
+from threadloom.llm import credentials, imatch, jaccard, licenses, lines, packing, passages, pieces, repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -30,6 +31,19 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license_digest", "license_id", F.array_join("notices", ",").alias("notices"), "n_license_lines")
 
 
+#: The model that op3 encodes with; a parameter of the environment, as the file isn't part of this repository.
+MODEL_FILE = os.environ.get("THREADLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every whole text, and whether decoding gives the text again."""
+    with open(MODEL_FILE, "rb") as f:
+        model = f.read()
+    docs = _table(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = pieces.decode(pieces.encode(docs, model), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place in a batch for every document."""
     return packing.pack(_table(spark, sf_dir).select("doc_id", "text"))
@@ -45,19 +59,40 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.quality_rules(_table(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
 
 
+def op7_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return imatch.edited_pairs(_table(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its host's boilerplate lines."""
     return lines.drop_frequent_lines(_table(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its runs of 100 bytes that start earlier in the corpus."""
+    found = repeats.remove_repeats(_table(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of every document that nearly repeat one of an earlier document."""
+    docs = _table(spark, sf_dir).select("doc_id", "text")
+    return passages.summary(docs, passages.near_passages(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_license_scan": op2_license_scan,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_packing": op4_packing,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_quality_rules": op6_quality_rules,
+        "op7_imatch_fingerprints": op7_imatch_fingerprints,
         "op8_line_dedup": op8_line_dedup,
+        "op9_suffix_array_dedup": op9_suffix_array_dedup,
+        "op10_compact_windows": op10_compact_windows,
     }
 
 
