@@ -38,12 +38,12 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("length", [100, 60])
-def test_equal_to_brute_force(spark, seed, length):
+@pytest.mark.parametrize(("length", "gram", "runs"), [(100, 64, 200_000), (100, 20, 0), (60, 40, 0)])
+def test_equal_to_brute_force(spark, seed, length, gram, runs):
     rows = corpus(seed)
     shuffled = random.Random(0).sample(rows, len(rows))
     docs = spark.createDataFrame(shuffled, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(docs, length=length).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(docs, length=length, gram=gram, broadcast_runs=runs).collect()}
     assert got == brute(rows, length)
 
 

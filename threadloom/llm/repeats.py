@@ -12,8 +12,8 @@ order; the dictionary has each distinct phrase with its first place.
    first `length` bytes as a hash, are grouped into these intervals, and the least place in an interval, in corpus order,
    is the one that stays.
 
-All three are aggregations with a minimum by key, with partial sums before each shuffle, and joins back that Spark can
-split; no pairs arise, whatever the number of copies. Strings are compared by 64-bit hashes.
+Repeats inside one text are told apart where the text is read. All else is aggregations with a least id by key, with partial ones before each shuffle, and joins back that
+Spark can split; no pairs arise, whatever the number of copies. Strings are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,7 +28,10 @@ from threadloom.llm.components import filter_of, passes
 from threadloom.llm.shared import shared_table, text_or_empty
 
 U = np.uint64
-GRAM = 32
+GRAM = 64
+BROADCAST_RUNS = 200_000
+#: Stands for a null id, below all others.
+NO_ID = -(2**63)
 
 
 def phrases(texts: pa.Array, length: int, gram: int):
@@ -59,15 +62,27 @@ def covered(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = GRAM) -> DataFrame:
+def later_in_text(text: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """Which rows have all values of an earlier row of the same text."""
+    order = np.lexsort((np.arange(len(text)), *values, text))
+    same = np.zeros(len(text), bool)
+    if len(text) > 1:
+        equal = text[order][1:] == text[order][:-1]
+        for v in values:
+            equal &= v[order][1:] == v[order][:-1]
+        same[order[1:]] = equal
+    return same
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = GRAM, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans (long), spans (array<struct<start, end>>, bytes of the UTF-8 text) and kept
     (binary, the other bytes): one row for each row of docs.
 
     Removed is every byte inside a run of `length` bytes that also starts earlier: in a text with a smaller id, or earlier
-    in the same one. A null text counts as empty; a null id is smaller than any other. Rows with one id count as one
-    document: neither of two equal rows is the earlier. Texts are read whole, one block in memory at a time."""
-    data = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text")).withColumn("mark", F.xxhash64("text"))
-    id_type = data.schema["id"].dataType.simpleString()
+    in the same one. A null text counts as empty; a null id is smaller than any other. Of rows with one id neither is the
+    earlier. Texts are read whole, one block in memory at a time."""
+    data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).cast("binary").alias("text")).withColumn("mark", F.xxhash64("text"))
+    context = data.sparkSession.sparkContext
 
     def triggers(batches):
         for batch in batches:
@@ -76,33 +91,31 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     counts = data.select("text").mapInArrow(triggers, "key long").groupBy("key").agg(F.count("*").alias("n"))
     again = shared_table(counts.where("n > 1").select("key"), "repeats-triggers")
-    bits = data.sparkSession.sparkContext.broadcast(filter_of(again))
+    bits = context.broadcast(filter_of(again))
 
     def parse(batches):
         for batch in batches:
             for first, prefix, offsets, text, at, low, high in phrases(batch.column(1), length, gram):
                 key = trigger_keys(prefix, at, gram)
                 ok = passes(bits.value, key)
-                text, at, low, high = text[ok], at[ok], low[ok], high[ok]
+                text, at, low, high, key = text[ok], at[ok], low[ok], high[ok], key[ok]
                 phrase = H.mix(H.span_hash(prefix, low, high + length) + (at - low).astype(U) * U(0x9E3779B97F4A7C15))
                 rows, begin = pa.array(text + first), offsets[text]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(H.signed(key[ok])), pa.array(H.signed(phrase)), pa.array(low - begin), pa.array(high - begin)], ["id", "mark", "key", "phrase", "low", "high"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(H.signed(key)), pa.array(H.signed(phrase)), pa.array(low - begin), pa.array(high - begin), pa.array(later_in_text(text, key, phrase))], ["id", "mark", "key", "phrase", "low", "high", "later"])
 
-    parsed = data.select("id", "text", "mark").mapInArrow(parse, f"id {id_type}, mark long, key long, phrase long, low long, high long")
+    parsed = data.select("id", "text", "mark").mapInArrow(parse, "id long, mark long, key long, phrase long, low long, high long, later boolean")
     parsed = shared_table(parsed.join(again, "key"), "repeats-parse")
-    dictionary = parsed.groupBy("key", "phrase").agg(F.min(F.struct("id", "low")).alias("first"))
+    dictionary = parsed.groupBy("key", "phrase").agg(F.min("id").alias("first"))
     others = dictionary.groupBy("key").agg(F.count("*").alias("n"))
     dictionary = shared_table(dictionary.join(others, "key"), "repeats-dictionary")
-    place = parsed.join(dictionary, ["key", "phrase"])
-    later = F.struct("id", "low") > F.col("first")
-    place = shared_table(place.where(later | (F.col("n") > 1)).select("id", "mark", "low", "high", later.alias("later")), "repeats-places")
-
-    def runs_of(table: DataFrame) -> DataFrame:
-        return table.groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    later = F.col("later") | (F.col("id") > F.col("first"))
+    place = parsed.join(dictionary, ["key", "phrase"]).select("id", "mark", "low", "high", later.alias("later"), "n")
+    place = shared_table(place.where("later OR n > 1").drop("n"), "repeats-places")
 
     def with_runs(table: DataFrame, how: str) -> DataFrame:
-        side = runs_of(table).select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "runs")
-        return data.join(side, data["id"].eqNullSafe(side["id2"]) & (data["mark"] == side["mark2"]), how).select("id", "mark", "text", "runs")
+        side = table.groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("runs")).select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "runs")
+        side = F.broadcast(side) if table.count() <= broadcast_runs else side
+        return data.join(side, (data["id"] == side["id2"]) & (data["mark"] == side["mark2"]), how).select("id", "mark", "text", "runs")
 
     def suffixes(batches):
         for batch in batches:
@@ -112,22 +125,31 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 for _, bytes_, _ in H.blocks(batch.column(2).slice(i, 1)):
                     starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high, strict=True)]))
                     found = H.span_hash(H.byte_prefix(bytes_), starts, starts + length)
-                    rows = pa.array(np.full(len(starts), i))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(H.signed(found)), pa.array(starts)], ["id", "mark", "suffix", "low"])
+                    own = np.zeros(len(starts), np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own + i)), batch.column(1).take(pa.array(own + i)), pa.array(H.signed(found)), pa.array(starts), pa.array(later_in_text(own, found))], ["id", "mark", "suffix", "low", "later"])
+
+    suffix = shared_table(with_runs(place.where("not later"), "inner").mapInArrow(suffixes, "id long, mark long, suffix long, low long, later boolean"), "repeats-suffixes")
+    interval = shared_table(suffix.groupBy("suffix").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last"), "repeats-intervals")
+    shared = context.broadcast(filter_of(interval.select(F.col("suffix").alias("key"))))
+
+    def likely(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passes(shared.value, batch.column(2).to_numpy().view(U))))
 
-    open_ = with_runs(place.where("not later"), "inner")
-    suffix = shared_table(open_.mapInArrow(suffixes, f"id {id_type}, mark long, suffix long, low long"), "repeats-suffixes")
-    interval = suffix.groupBy("suffix").agg(F.min(F.struct("id", "low")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    single = suffix.join(interval, "suffix").where(F.struct("id", "low") > F.col("first")).select("id", "mark", "low", F.col("low").alias("high"))
-    repeated = place.where("later").select("id", "mark", "low", "high").unionByName(single).distinct()
+    first_here = suffix.where("not later").select("id", "mark", "suffix", "low").mapInArrow(likely, "id long, mark long, suffix long, low long")
+    single = first_here.join(interval, "suffix").where("id > first").unionByName(suffix.where("later"), allowMissingColumns=True).select("id", "mark", "low", F.col("low").alias("high"))
+    repeated = shared_table(place.where("later").select("id", "mark", "low", "high").unionByName(single), "repeats-found")
 
     def cut(batches):
         for batch in batches:
             texts, all_runs = batch.column(2), batch.column(3)
             sizes, removed, spans, kept = [], [], [], []
             for i in range(batch.num_rows):
-                text, runs = texts[i].as_py(), all_runs[i].as_py()
-                found = covered([(r["low"], r["high"]) for r in runs], length) if runs else []
+                text = texts[i].as_py()
+                found = []
+                if all_runs[i].is_valid:
+                    runs = all_runs[i].values
+                    found = covered(list(zip(runs.field(0).to_pylist(), runs.field(1).to_pylist(), strict=True)), length)
                 ends = [0, *[x for s in found for x in s], len(text)]
                 sizes.append(len(text))
                 removed.append(sum(b - a for a, b in found))
@@ -135,5 +157,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 kept.append(text if not found else b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    out = with_runs(repeated, "left").mapInArrow(cut, f"id {id_type}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    out = with_runs(repeated, "left").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+    return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)

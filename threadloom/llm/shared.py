@@ -29,13 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files behind it are of no more use then. Spark deletes them once the driver's JVM has collected their
+    handles, which is asked for here; else all steps' files would stay on the executors' disks together."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
