@@ -254,9 +254,9 @@ def snapshot_deltas(spark, d):
 
 
 @query(f"""
-WITH {_DAYS}, who AS (SELECT DISTINCT user_id FROM obs WHERE user_id % 10 = 0)
+WITH {_DAYS}, who AS (SELECT DISTINCT user_id FROM obs)
 SELECT w.user_id, strftime(s.snapshot, '%Y-%m-%d') AS snapshot, CASE WHEN o.user_id IS NOT NULL THEN 'present' WHEN a.user_id IS NOT NULL THEN 'absent_in_snapshot' ELSE 'unknown' END AS state
-FROM who w CROSS JOIN snap s LEFT JOIN obs o ON o.snapshot = s.snapshot AND o.user_id = w.user_id LEFT JOIN absent a ON a.snapshot = s.snapshot AND a.user_id = w.user_id""".replace(" WHERE user_id % 10 = 0", ""))
+FROM who w CROSS JOIN snap s LEFT JOIN obs o ON o.snapshot = s.snapshot AND o.user_id = w.user_id LEFT JOIN absent a ON a.snapshot = s.snapshot AND a.user_id = w.user_id""")
 def presence_history(spark, d):
     seen, captures = _days(spark, d)
     return snapshots.presence_history(seen, captures, seen.select("user_id").distinct(), identity="user_id")
@@ -426,7 +426,9 @@ def canonical_hash(spark, d):
     return table(spark, d, "events").select("event_id", canonical.canonical_hash(F.col("props")).alias("raw_sha256"))
 
 
-@query("SELECT lower(text) AS norm, count(*) AS n_sources FROM conversations WHERE role = 'user' AND length(text) BETWEEN 6 AND 300 GROUP BY 1 HAVING count(DISTINCT conv_id) > 1".replace("count(*) AS n_sources", "count(DISTINCT conv_id) AS n_sources").replace("lower(text)", "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"))
+@query(r"""
+SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm, count(DISTINCT conv_id) AS n_sources FROM conversations
+WHERE role = 'user' AND length(text) BETWEEN 6 AND 300 GROUP BY 1 HAVING count(DISTINCT conv_id) > 1""")
 def consolidated_statements(spark, d):
     rows = table(spark, d, "conversations").where("role = 'user' AND length(text) BETWEEN 6 AND 300")
     return memory.consolidate(rows, kind="role", text_col="text", source="conv_id").where("n_sources > 1").select("norm", "n_sources")
