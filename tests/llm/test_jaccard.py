@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from threadloom.llm import jaccard
@@ -81,3 +82,16 @@ def test_enough_parts_are_equal():
             m, spare = jaccard.parts_of(band, edges, num, 100)
             differing = (small + large) * (100 - num) // (100 + num)
             assert m == 0 and differing == 0 or m - differing > spare
+
+
+def test_counts_never_part_linked_sets():
+    r = np.random.Generator(np.random.PCG64(5))
+    base = np.unique(r.integers(0, 2**63, 900, dtype=np.uint64) * np.uint64(2))
+    near = np.unique(np.concatenate([base[: int(len(base) * 0.9)], r.integers(0, 2**63, 90, dtype=np.uint64) * np.uint64(2)]))
+    other = np.unique(r.integers(0, 2**63, 900, dtype=np.uint64) * np.uint64(2))
+    sets = [base, near, other]
+    assert len(np.intersect1d(base, near)) >= 0.8 * len(np.union1d(base, near))
+    counts = jaccard.counts_of(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    assert counts.sum() == sum(map(len, sets))
+    label = jaccard.chains(counts, np.array([len(s) for s in sets]), 80, 100)
+    assert label[0] == label[1] != label[2]

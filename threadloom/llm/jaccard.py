@@ -7,6 +7,10 @@ that pivots alone can't part them. The join therefore has two levels:
    their sizes; cut into D + 1 parts or more by the value of their hashes, they have one part at least in common. The
    class with the least hash among those that share a part is a pivot, and every class of that part goes to its region.
    Any two linked classes meet in a region, without exception.
+   Counts of a set's elements in COUNTS ranges of their hashes are an embedding that doesn't lengthen distances: linked sets
+   differ in no more counts than in elements. Members of a region that no chain of such near neighbours joins part before
+   any text is read; each chain becomes a region, named by its least class, so that the same chain from several regions is
+   one.
 2. In a region, distances to a few pivots (linear work) link members to pivots; members whose distances to some pivot
    differ by more than the radius, or that are connected already, need no comparison; all others are compared exactly.
    A region with more than `region_rows` members is first split: its members go to the Voronoi cell of their nearest pivot
@@ -35,6 +39,8 @@ REGION_ROWS = 4096
 BROADCAST_ROWS = 400_000
 PIVOTS = 8
 SPLIT_PIVOTS = 48
+ELEMENTS = 500
+COUNTS = 128
 #: Cells go on splitting while the rows in those that are too large fall to this share.
 LEAST_PROGRESS = 0.7
 
@@ -53,7 +59,7 @@ def parts_of(band: int, edges: list[int], num: int, den: int) -> tuple[int, int]
     Linked sets have spare + 1 equal parts at least."""
     small = edges[band + 1] - 1
     most = (small + small * den // num) * (den - num) // (den + num)
-    spare = 1 if most >= 12 else 0
+    spare = 1 + most // 12 if most >= 3 else 0
     return (most + 1 + spare, spare) if most else (0, 0)
 
 
@@ -211,12 +217,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     def classes(batches):
         for batch in batches:
-            n, h = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, U)
+            n, h, counts = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, U), []
             for first, elements, begins in sets_of(batch.column(1), words):
                 n[first : first + len(begins) - 1], h[first : first + len(begins) - 1] = np.diff(begins), set_hash(elements, begins)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(H.signed(h))], ["id", "n", "cls"])
+                counts += [c.tobytes() for c in counts_of(elements, begins)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(H.signed(h)), pa.array(counts, pa.binary())], ["id", "n", "cls", "counts"])
 
-    rows = shared_table(data.mapInArrow(classes, "id long, n long, cls long"), "jaccard-sets")
+    rows = shared_table(data.mapInArrow(classes, "id long, n long, cls long, counts binary"), "jaccard-sets")
 
     def keyed(bits=None):
         def make(batches):
@@ -233,8 +240,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shared = shared_table(keyed().groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot <> last").select("key", "pivot"), "jaccard-parts")
     bits = data.sparkSession.sparkContext.broadcast(filter_of(shared))
     regions = keyed(bits).join(shared, "key").select("pivot", "cls").distinct()
-    first = rows.where(F.col("id").isNotNull()).groupBy("cls").agg(F.min("id").alias("id"))
-    regions = shared_table(regions.join(first, "cls"), "jaccard-regions")
+    first = rows.where(F.col("id").isNotNull()).groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    regions = _narrowed(shared_table(regions.join(first, "cls"), "jaccard-regions"), rows, num, den, region_rows)
     edges = _solve(data, regions, words, num, den, region_rows, split_pivots, broadcast_rows)
     labels = components(edges)
     named = rows.join(labels, rows["cls"] == labels["node"], "left").select("id", "n", F.coalesce("component", "cls").alias("component"))
@@ -265,8 +272,58 @@ def _with_text(data: DataFrame, regions: DataFrame, broadcast_rows: int) -> Data
     return data.join(side, "id")
 
 
+def _sized(regions: DataFrame) -> DataFrame:
+    """regions with size: members, or more if their sets are larger than ELEMENTS on average."""
+    size = F.greatest(F.count("*"), F.ceil(F.sum("n") / ELEMENTS))
+    return regions.join(regions.groupBy("pivot").agg(size.alias("size")), "pivot")
+
+
+def counts_of(elements: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A row of COUNTS bytes for each set: elements in each range of hashes, 255 at most."""
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    at = owner * COUNTS + (elements >> U(64 - COUNTS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=(len(begins) - 1) * COUNTS), 255).astype(np.uint8).reshape(-1, COUNTS)
+
+
+def chains(counts: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A label for each set, equal for sets that a chain of possible links joins."""
+    m, label = len(sizes), np.arange(len(sizes))
+    wide = counts.astype(np.int16)
+    for a in range(0, m, 16):
+        part = wide[a : a + 16]
+        apart = np.abs(part[:, None, :] - wide[None, :, :]).sum(axis=2, dtype=np.int64)
+        n, own = sizes[None, :], sizes[a : a + 16, None]
+        ok = (apart * (den + num) <= (n + own) * (den - num)) & (num * np.maximum(n, own) <= den * np.minimum(n, own))
+        for row in ok:
+            near = np.unique(label[row])
+            if len(near) > 1:
+                label[np.isin(label, near)] = near[0]
+    return label
+
+
+def _narrowed(regions: DataFrame, rows: DataFrame, num: int, den: int, region_rows: int) -> DataFrame:
+    """Regions (pivot, cls, id, n) by chains of possible links; those over region_rows stay as they are."""
+    sized = _sized(regions)
+
+    def part(batches):
+        for group in _groups(batches, "pivot"):
+            classes, first = np.unique(group["cls"].to_numpy(), return_index=True)
+            if len(classes) < 2:
+                continue
+            own = group.take(pa.array(first))
+            counts = np.frombuffer(b"".join(own["counts"].to_pylist()), np.uint8).reshape(-1, COUNTS)
+            label = chains(counts, own["n"].to_numpy(), num, den)
+            keep = np.bincount(label, minlength=len(label))[label] > 1
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(classes[label][keep]), pa.array(classes[keep]), pa.array(own["id"].to_numpy()[keep]), pa.array(own["n"].to_numpy()[keep])], ["pivot", "cls", "id", "n"])
+
+    small = sized.where(F.col("size") <= region_rows).select("pivot", "cls", "id", "n").join(rows.select("id", "cls", "counts"), ["id", "cls"])
+    out = small.select("pivot", "cls", "id", "n", "counts").repartition("pivot").sortWithinPartitions("pivot").mapInArrow(part, "pivot long, cls long, id long, n long").distinct()
+    return shared_table(out.unionByName(sized.where(F.col("size") > region_rows).select("pivot", "cls", "id", "n")), "jaccard-narrowed")
+
+
 def _solve(data: DataFrame, regions: DataFrame, words: int, num: int, den: int, region_rows: int, split_pivots: int, broadcast_rows: int) -> DataFrame:
-    """Edges (a, b) between classes that connect what links connect, from regions (pivot, cls, id)."""
+    """Edges (a, b) between classes that connect what links connect, from regions (pivot, cls, id, n)."""
 
     def small(batches):
         for group in _groups(batches, "pivot"):
@@ -276,7 +333,7 @@ def _solve(data: DataFrame, regions: DataFrame, words: int, num: int, den: int,
 
     found, rows = [], None
     while True:
-        sized = regions.join(regions.groupBy("pivot").agg(F.count("*").alias("size")), "pivot")
+        sized = _sized(regions)
         near = _with_text(data, sized.where(F.col("size") <= region_rows).drop("size"), broadcast_rows)
         found.append(shared_table(near.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(small, "a long, b long"), "jaccard-edges"))
         large = sized.where(F.col("size") > region_rows)
@@ -303,7 +360,7 @@ def _split(data: DataFrame, large: DataFrame, words: int, num: int, den: int, re
     chunk = F.pmod(F.xxhash64("cls", F.lit(1)), F.ceil(F.col("size") / region_rows))
     members = large.withColumn("chunk", chunk).withColumn("is_pivot", F.lit(False))
     spread = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / region_rows) - 1))).withColumn("is_pivot", F.lit(True))
-    cols = ["pivot", "cls", "id", "chunk", "is_pivot"]
+    cols = ["pivot", "cls", "id", "n", "chunk", "is_pivot"]
     task = shared_table(members.select(*cols).unionByName(spread.select(*cols)).withColumn("task", F.xxhash64("pivot", "chunk")), "jaccard-split")
     radius = 1 - num / den + 1e-9
 
@@ -313,7 +370,7 @@ def _split(data: DataFrame, large: DataFrame, words: int, num: int, den: int, re
                 own = group.filter(pa.compute.equal(group["pivot"], int(region)))
                 pids, psets, _ = _members(own.filter(own["is_pivot"]), words)
                 ids, sets, at = _members(own.filter(pa.compute.invert(own["is_pivot"])), words)
-                docs = own.filter(pa.compute.invert(own["is_pivot"]))["id"].to_numpy()[at]
+                docs, n = (own.filter(pa.compute.invert(own["is_pivot"]))[c].to_numpy()[at] for c in ("id", "n"))
                 all_sets = Region(psets + sets)
                 both = np.array([all_sets.common(p) for p in range(len(pids))])[:, len(pids) :]
                 sizes = all_sets.sizes
@@ -322,12 +379,12 @@ def _split(data: DataFrame, large: DataFrame, words: int, num: int, den: int, re
                 p, m = np.nonzero((far - far.min(axis=0) <= 2 * radius) & (far < 1))
                 name = H.mix(pids[p] ^ H.mix(np.full(len(p), region).view(U)))
                 linked = den * both[p, m] >= num * either[p, m]
-                yield pa.RecordBatch.from_arrays([pa.array(H.signed(name)), pa.array(H.signed(ids[m])), pa.array(docs[m]), pa.array(H.signed(pids[p])), pa.array(linked)], ["pivot", "cls", "id", "a", "linked"])
+                yield pa.RecordBatch.from_arrays([pa.array(H.signed(name)), pa.array(H.signed(ids[m])), pa.array(docs[m]), pa.array(n[m]), pa.array(H.signed(pids[p])), pa.array(linked)], ["pivot", "cls", "id", "n", "a", "linked"])
                 lone = np.flatnonzero(far.min(axis=0) >= 1 - 2 * radius)  # may lie outside all pivots' reach: one more cell
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lone), H.signed(H.mix(np.array([region]).view(U)))[0])), pa.array(H.signed(ids[lone])), pa.array(docs[lone]), pa.array(H.signed(ids[lone])), pa.array(np.zeros(len(lone), bool))], ["pivot", "cls", "id", "a", "linked"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lone), H.signed(H.mix(np.array([region]).view(U)))[0])), pa.array(H.signed(ids[lone])), pa.array(docs[lone]), pa.array(n[lone]), pa.array(H.signed(ids[lone])), pa.array(np.zeros(len(lone), bool))], ["pivot", "cls", "id", "n", "a", "linked"])
 
-    out = shared_table(_with_text(data, task, broadcast_rows).repartition("task").sortWithinPartitions("task").mapInArrow(cells, "pivot long, cls long, id long, a long, linked boolean"), "jaccard-cells")
-    return out.where("linked").select("a", F.col("cls").alias("b")), out.select("pivot", "cls", "id").distinct()
+    out = shared_table(_with_text(data, task, broadcast_rows).repartition("task").sortWithinPartitions("task").mapInArrow(cells, "pivot long, cls long, id long, n long, a long, linked boolean"), "jaccard-cells")
+    return out.where("linked").select("a", F.col("cls").alias("b")), out.select("pivot", "cls", "id", "n").distinct()
 
 
 def _least(large: DataFrame, count: int) -> DataFrame:
