@@ -7,6 +7,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,7 +80,8 @@ def link(text: str, reach: int = 160) -> list[tuple[int, int, int, int]]:
     Base spans are all there. Scopes are the paragraphs of the text. Within a scope, the intervals of secrets (assign,
     hex, weak secrets), widened by reach, are joined with those of identifiers (access, weak identifiers) and endpoints;
     a weak part is reported only if such a partner exists, and a partner of hex alone must be an access identifier or a
-    weak identifier. Each part looks up its nearest neighbours in sorted order, so that no list of pairs arises."""
+    weak identifier. Each part looks outwards in the sorted parts of the kinds it may be linked with, as far as reach goes,
+    so that no list of pairs arises."""
     base = base_spans(text)
     weak = weak_spans(text, base)
     if not weak and len(base) < 2:
@@ -87,20 +89,34 @@ def link(text: str, reach: int = 160) -> list[tuple[int, int, int, int]]:
     cuts = [m.start() for m in _SCOPE.finditer(text)]
     scope = lambda at: bisect_left(cuts, at + 1)
     parts = sorted(base + weak)
-    secrets = [p for p in parts if p[1] in (0, 2, 4)]
-    others = [p for p in parts if p[1] in (1, 3, 5)]
-
-    def nearest(part, among):
-        at, best = bisect_left(among, part), None
-        for other in among[max(0, at - 3) : at + 3]:
-            gap = max(other[0] - part[2], part[0] - other[2], 0)
-            if gap <= reach and scope(other[0]) == scope(part[0]) and not (2 in (part[1], other[1]) and 5 in (part[1], other[1])) and (best is None or (gap, other) < best):
+    # By kind, the kinds it may be linked with: a hex value and an endpoint say nothing together.
+    of_kinds = lambda *kinds: [p for p in parts if p[1] in kinds]
+    secrets, others, named, assigned = of_kinds(0, 2, 4), of_kinds(1, 3, 5), of_kinds(1, 3), of_kinds(0, 4)
+    among = {0: others, 1: secrets, 2: named, 3: secrets, 4: others, 5: assigned}
+    ends = {k: list(accumulate((p[2] for p in of), max)) for k, of in among.items()}
+
+    def nearest(part):
+        best, own, found = None, scope(part[0]), among[part[1]]
+        at = bisect_left(found, part)
+        for i in range(at, len(found)):
+            other = found[i]
+            gap = max(other[0] - part[2], 0)
+            if gap > reach or (best and gap > best[0]):
+                break
+            if scope(other[0]) == own and (best is None or (gap, other) < best):
+                best = (gap, other)
+        for i in range(at - 1, -1, -1):
+            if part[0] - ends[part[1]][i] > (best[0] if best else reach):
+                break
+            other = found[i]
+            gap = max(part[0] - other[2], 0)
+            if gap <= reach and scope(other[0]) == own and (best is None or (gap, other) < best):
                 best = (gap, other)
         return best[1] if best else None
 
     out = []
     for p in parts:
-        other = nearest(p, others if p[1] in (0, 2, 4) else secrets)
+        other = nearest(p)
         if other or p[1] < 3:
             out.append((*p, other[0] if other else -1))
     return out
