@@ -80,6 +80,14 @@ def test_licenses_in_any_dress(spark):
     assert found == set(license_texts.TEXTS)
 
 
+def test_long_licenses_and_further_notices_are_known(spark):
+    long = ["Apache-2.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0"]
+    rows = [(i, "Copyright (c) 2020 Robin\n" + license_texts.TEXTS[k].replace("\n", "\r\n").upper()) for i, k in enumerate(long)] + [(100, "a\nReleased under the BSD 3-Clause licence\nLicensed under CC BY-SA 4.0")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["license_id"] for i in range(len(long))] == long
+    assert got[100]["notices"] == ["BSD-3-Clause", "CC-BY-SA-4.0"] and got[100]["n_license_lines"] == 2
+
+
 def padding(lengths, ends):
     return sum(min(e for e in ends if e >= x) - x for x in lengths)
 
