@@ -31,6 +31,15 @@ def test_explicit_statements_and_budget(spark):
     assert [r["norm"] for r in memory.greedy_budget(groups, "norm", budget_chars=13)] == ["i like rain."]
 
 
+def test_budget_goes_on_past_many_long_statements(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "x" * 80) for i in range(900)] + [(900, "y" * 15), (901, "z" * 30), (902, "w" * 5)]
+    groups = spark.createDataFrame(rows, "i int, norm string").repartition(8).orderBy(F.asc("i"))
+    assert [r["i"] for r in memory.greedy_budget(groups, "norm", budget_chars=100)] == [0, 900, 902]
+    assert [r["i"] for r in memory.greedy_budget(groups, "norm", budget_chars=100, most=1)] == [0]
+
+
 def test_hits_and_budget(spark):
     rows = spark.createDataFrame([("c1", "m1", "user", "alpha beta", 1.0), ("c1", "m2", "assistant", "alpha", 2.0), ("c2", "m3", "assistant", "x alpha", 3.0), ("c2", "m4", "system", "alpha", 4.0)], "thread string, message string, role string, text string, at double")
     hits = recall.keyword_hits(rows, "ALPHA", thread="thread", message="message", text_col="text", role_col="role", time_col="at")

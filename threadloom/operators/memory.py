@@ -127,11 +127,16 @@ def consolidate(statements: DataFrame, *, kind: str, text_col: str, source: str,
 
 
 def greedy_budget(groups: DataFrame, text_col: str, budget_chars: int = 6000, most: int = 30) -> list[dict]:
-    """Rows in their order whose texts fit the budget; one that is too long is passed over. At most 10 * most rows are
-    looked at on the driver, as the choice is sequential."""
-    out, left = [], budget_chars
-    for row in groups.limit(10 * most).collect():
-        if len(row[text_col]) <= left and len(out) < most:
+    """Rows in their order whose texts fit the budget; one that is too long is passed over. The choice is sequential: rows
+    that fit the whole budget reach the driver one partition at a time, until the budget or `most` is spent."""
+    out: list[dict] = []
+    left = budget_chars
+    if most <= 0:
+        return out
+    for row in groups.where(F.length(text_col) <= budget_chars).toLocalIterator():
+        if len(row[text_col]) <= left:
             out.append(row.asDict())
             left -= len(row[text_col])
+            if len(out) == most or left <= 0:
+                break
     return out
