@@ -1,7 +1,7 @@
 import os
 import random
-from array import array
 
+import pyarrow as pa
 import pytest
 
 from threadloom.llm import pieces
@@ -28,11 +28,17 @@ def test_ids_equal_the_librarys_and_decode_to_the_text(model, by_word):
     coder = pieces.Encoder(pieces.Vocabulary(model))
     if not by_word:
         coder.split = None
-    for text in texts():
-        ids = array("i")
-        coder.encode(text, ids)
-        assert list(ids) == library.encode(text)
-        assert coder.decode(ids) == text
+    batch = pa.array([*texts(), "a▁b ▁▁c", "▁", "漢" * 300 + " " * 70 + "x"])
+    ids = coder.encode(batch)
+    assert ids.to_pylist() == [library.encode(text) for text in batch.to_pylist()]
+    assert coder.decode(ids).to_pylist() == [text.replace("▁", " ") for text in batch.to_pylist()]
+    assert coder.encode(batch.slice(5, 3)).to_pylist() == ids.to_pylist()[5:8] and coder.decode(ids.slice(5, 3)).to_pylist() == batch.to_pylist()[5:8]
+
+
+def test_bytes_that_are_no_text(model):
+    coder = pieces.Encoder(pieces.Vocabulary(model))
+    ids = coder.encode(pa.array([" 𓀀"])).to_pylist()[0]
+    assert coder.decode(pa.array([ids, ids[:-1], []], pa.list_(pa.int32()))).to_pylist() == [" 𓀀", " \ufffd", ""]
 
 
 def test_unigram_search_equals_the_whole_lattice(model):
@@ -54,6 +60,9 @@ def test_unigram_search_equals_the_whole_lattice(model):
 
 
 def test_columns(spark, model):
-    docs = spark.createDataFrame([(1, "hello wörld\n", "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, ids_ string")
+    docs = spark.createDataFrame([(1, "hello wörld\n", "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, ids_ string").selectExpr("*", "0 AS ids", "1 AS Decoded", "2 AS text_", "3 AS `a.b`")
     coded = pieces.decode(pieces.encode(docs, model), model)
+    assert coded.columns == ["doc_id", "text", "ids_", "text_", "a.b", "ids", "decoded"]
+    assert pieces.decode(pieces.encode(docs.limit(0), model), model).collect() == []
+    assert [r["decoded"] for r in pieces.decode(docs.selectExpr("doc_id", "cast(null AS array<int>) AS ids"), model).collect()] == [None] * 3
     assert [(r["doc_id"], r["ids_"], r["decoded"]) for r in coded.orderBy("doc_id").collect()] == [(1, "x", "hello wörld\n"), (2, "y", ""), (3, "z", "")]

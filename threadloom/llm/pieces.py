@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import re
 import struct
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from threadloom.llm.shared import text_or_empty
+from threadloom.llm.shared import columns, text_or_empty, unused, without
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -30,6 +32,7 @@ UNIGRAM, BPE = 1, 2
 #: Two generations of recent words, so many each.
 KEPT_WORDS = 300_000
 KEPT_PAIRS = 1_000_000
+SLICE_BYTES = 1 << 21
 #: What stands before the first piece.
 NOTHING = -(1 << 21)
 
@@ -96,13 +99,12 @@ class Vocabulary:
         self.by_word = self.byte_fallback and not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         #: An unknown character scores less than any piece.
         self.penalty = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
-        self.strings = [self._string(i) for i in range(len(self.pieces))]
+        self.bytes_of = pa.array([self._bytes(i) for i in range(len(self.pieces))], pa.large_binary())
 
-    def _string(self, i: int) -> str:
+    def _bytes(self, i: int) -> bytes:
         if self.types[i] == BYTE:
-            b = int(self.pieces[i][3:5], 16)
-            return chr(b) if b < 128 else chr(0xDC00 + b)
-        return "" if self.types[i] == CONTROL else " ⁇ " if self.types[i] == UNKNOWN else self.pieces[i].replace(SPACE, " ")
+            return bytes([int(self.pieces[i][3:5], 16)])
+        return b"" if self.types[i] == CONTROL else " ⁇ ".encode() if self.types[i] == UNKNOWN else self.pieces[i].replace(SPACE, " ").encode()
 
     def normal(self, text: str) -> str:
         if self.collapse:
@@ -206,19 +208,42 @@ class Encoder:
                     out.append(v.unknown)
         return tuple(out)
 
-    def encode(self, text: str, out: array) -> None:
-        """Appends the ids of text to out."""
-        text = self.v.normal(text)
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text (a string array without nulls), as lists.
+
+        Where texts part into words, each distinct word of the batch is looked up once; the rest is done for whole arrays."""
         if self.split is None:
-            out.extend(self.ids_of(text))
-            return
-        get = self.words.get
-        for word in self.split.findall(text):
+            ids = [self.ids_of(self.v.normal(t)) for t in texts.to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array([i for x in ids for i in x], pa.int32()))
+        texts = pc.replace_substring(texts.cast(pa.large_string()), SPACE, " ")
+        if self.v.collapse:
+            texts = pc.replace_substring_regex(pc.utf8_trim(texts, " "), " +", " ")
+        if self.v.prefix:
+            texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        solid = data[offsets[0] : offsets[-1]] != 32
+        begins = np.zeros(len(solid) + 1, bool)  # a word: spaces, and what follows them up to the next space
+        begins[1:-1] = solid[:-1] & ~solid[1:]
+        begins[offsets - offsets[0]] = True
+        begins = np.flatnonzero(begins[:-1])
+        words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(solid)).astype(np.int64)), pa.py_buffer(data[offsets[0] : offsets[-1]])).dictionary_encode()
+        get, found = self.words.get, []
+        for word in words.dictionary.to_pylist():
+            word = word.replace(" ", SPACE)
             ids = get(word)
             if ids is None:
                 ids = self._part(word, True)
                 get = self.words.get
-            out.extend(ids)
+            found.append(ids)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        which = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])
+        at = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], sizes[which])
+        return pa.ListArray.from_arrays(pa.array(ends[np.searchsorted(begins, offsets - offsets[0])].astype(np.int32)), pa.array(flat[at]))
 
     def _part(self, text: str, cut: bool) -> tuple[int, ...]:
         """The ids of a word that isn't among the recent ones. Where no piece has its neighbouring characters in a row, no
@@ -237,13 +262,20 @@ class Encoder:
             self.words[text] = ids
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        text = "".join(map(self.v.strings.__getitem__, ids))
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each list of ids (without nulls). Bytes that are no UTF-8 give U+FFFD."""
+        taken = self.v.bytes_of.take(ids.flatten())
+        at = np.asarray(ids.offsets) - ids.offsets[0].as_py()
+        _, offsets, data = taken.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1][at]
+        out = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(offsets), data if data is not None else pa.py_buffer(b""))
         try:
-            text.encode()
-        except UnicodeEncodeError:
-            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-        return text[1:] if self.v.prefix and text.startswith(" ") else text
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            out = pa.array([x.decode("utf-8", "replace") for x in out.cast(pa.large_binary()).to_pylist()], pa.large_string())
+        if self.v.prefix:
+            out = pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out)
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
@@ -258,42 +290,58 @@ def _encoder(sent) -> Encoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, model: bytes, *, text_col: str = "text", rows: int = 256) -> DataFrame:
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows of about SLICE_BYTES of a column at a time, or one larger row, which bounds what a worker holds."""
+    sizes = batch.column(column).nbytes / max(1, batch.num_rows)
+    if sizes * batch.num_rows <= SLICE_BYTES:
+        yield batch
+        return
+    values = batch.column(column)
+    each = pc.binary_length(values) if not pa.types.is_list(values.type) else pc.multiply(pc.list_value_length(values), 4)
+    ends = np.cumsum(each.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < batch.num_rows:
+        last = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(row, last - row)
+        row = last
+
+
+def encode(docs: DataFrame, model: bytes, *, text_col: str = "text") -> DataFrame:
     """docs with ids (array<int>): the pieces of each whole text. A null or empty text has none.
 
-    Narrow: nothing is shuffled. rows texts are encoded between two results, which bounds what a worker holds."""
+    Narrow: nothing is shuffled. Rows that repeat get equal results. A column named ids gives way to the result, other
+    columns stay; texts are taken SLICE_BYTES at a time, or one longer text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = len(docs.columns)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    text = text_or_empty(text_col)
+    rest = without(docs, "ids")
+    at = len(rest.columns)
+    schema = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         coder = _encoder(sent)
         for whole in batches:
-            for a in range(0, whole.num_rows, rows):
-                batch = whole.slice(a, rows)
-                flat, offsets = array("i"), [0]
-                for text in batch.column(at).to_pylist():
-                    coder.encode(text, flat)
-                    offsets.append(len(flat))
-                lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists], [*batch.schema.names[:at], "ids"])
+            for batch in slices(whole, at):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], coder.encode(batch.column(at))], [*batch.schema.names[:at], "ids"])
 
-    return docs.withColumn("__text", text_or_empty(text_col)).mapInArrow(run, f"{fields}, ids array<int>")
+    return docs.select(*columns(rest), text.alias(unused(docs, "text"))).mapInArrow(run, schema)
 
 
-def decode(docs: DataFrame, model: bytes, *, ids_col: str = "ids", to: str = "decoded", rows: int = 256) -> DataFrame:
+def decode(docs: DataFrame, model: bytes, *, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """docs with the text of ids_col in column `to`; null for null ids. The inverse of encode for models whose
-    normalisation keeps the text."""
+    normalisation keeps the text. Rows that repeat get equal results; a column named `to` gives way, other columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = len(docs.columns)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    rest = without(docs, to)
+    at = len(rest.columns)
+    schema = T.StructType([*rest.schema.fields, T.StructField(to, T.StringType())])
 
     def run(batches):
         coder = _encoder(sent)
         for whole in batches:
-            for a in range(0, whole.num_rows, rows):
-                batch = whole.slice(a, rows)
-                texts = pa.array([None if x is None else coder.decode(x) for x in batch.column(at).to_pylist()], pa.string())
+            for batch in slices(whole, at):
+                lists = batch.column(at)
+                texts = coder.decode(lists.fill_null([]) if lists.null_count else lists).cast(pa.string())
+                if lists.null_count:
+                    texts = pc.if_else(lists.is_valid(), texts, None)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts], [*batch.schema.names[:at], to])
 
-    return docs.withColumn("__ids", F.col(ids_col)).mapInArrow(run, f"{fields}, `{to}` string")
+    return docs.select(*columns(rest), F.col(ids_col).alias(unused(docs, "ids"))).mapInArrow(run, schema)

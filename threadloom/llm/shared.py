@@ -59,6 +59,25 @@ def checked_broadcast(table: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= max_rows else table
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs without the columns that bear a name of an operator's results: these give way. Case doesn't count."""
+    low = {n.lower() for n in names}
+    return docs.select(*[c for n, c in zip(docs.columns, columns(docs), strict=True) if n.lower() not in low])
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A name for a column of an operator's own that none of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, however often body uses it."""
     return F.transform(F.array(value), body)[0]
