@@ -60,9 +60,9 @@ def test_unigram_search_equals_the_whole_lattice(model):
 
 
 def test_columns(spark, model):
-    docs = spark.createDataFrame([(1, "hello wörld\n", "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, ids_ string").selectExpr("*", "0 AS ids", "1 AS Decoded", "2 AS text_", "3 AS `a.b`")
+    docs = spark.createDataFrame([(1, "hello wörld\n", "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, ids_ string").selectExpr("*", "0 AS ids", "1 AS Decoded", "2 AS text_", "3 AS `a b`")
     coded = pieces.decode(pieces.encode(docs, model), model)
-    assert coded.columns == ["doc_id", "text", "ids_", "text_", "a.b", "ids", "decoded"]
+    assert coded.columns == ["doc_id", "text", "ids_", "text_", "a b", "ids", "decoded"]
     assert pieces.decode(pieces.encode(docs.limit(0), model), model).collect() == []
     assert [r["decoded"] for r in pieces.decode(docs.selectExpr("doc_id", "cast(null AS array<int>) AS ids"), model).collect()] == [None] * 3
     assert [(r["doc_id"], r["ids_"], r["decoded"]) for r in coded.orderBy("doc_id").collect()] == [(1, "x", "hello wörld\n"), (2, "y", ""), (3, "z", "")]
