@@ -1,6 +1,6 @@
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 from threadloom.llm import lines
 
@@ -12,13 +12,12 @@ def norm(line):
 
 
 def frequent(rows, min_pages, share):
-    pages, holds = defaultdict(set), defaultdict(set)
+    pages, holds = Counter(), Counter()
     for _, text, host in rows:
-        pages[host].add(text or "")
-        for line in (text or "").split("\n"):
-            if WORD.search(line):
-                holds[host, norm(line)].add(text or "")
-    return {k for k, v in holds.items() if len(v) >= min_pages and len(v) > share * len(pages[k[0]])}
+        pages[host] += 1
+        for line in {norm(x) for x in (text or "").split("\n") if WORD.search(x)}:
+            holds[host, line] += 1
+    return {k for k, v in holds.items() if v >= min_pages and v > share * pages[k[0]]}
 
 
 def corpus():
@@ -70,3 +69,16 @@ def test_quality_rules_equal_brute_force(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert lines.quality_rules(docs).collect() == [] and lines.drop_frequent_lines(docs).collect() == []
+
+
+def test_copies_count_as_documents_and_depleted_ones_are_rejected(spark):
+    r = random.Random(3)
+    own = lambda: "\n".join(" ".join("u%d" % r.randrange(10**6) for _ in range(12)) for _ in range(6))
+    copied, footer = own(), " ".join("f%d" % i for i in range(20))
+    rows = [(i, copied, "a") for i in range(30)] + [(i, own() + "\n" + footer, "a") for i in range(30, 100)] + [(i, own(), "b") for i in range(100, 105)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x["doc_id"]: x for x in lines.quality_rules(docs).collect()}
+    assert {i for i, x in got.items() if not x["kept"]} == set(range(30)) and not any(x["base_failed"] for x in got.values())
+    assert {x["words_left"] for i, x in got.items() if 30 <= i < 100} == {72}
+    cut = {x["doc_id"]: x for x in lines.drop_frequent_lines(docs).collect()}
+    assert {x["n_dropped"] for i, x in cut.items() if i < 30} == {6} and {x["n_dropped"] for i, x in cut.items() if 30 <= i < 100} == {1} and {x["n_dropped"] for i, x in cut.items() if i >= 100} == {0}

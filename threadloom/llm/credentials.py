@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import text_or_empty
+from threadloom.llm.shared import text_or_empty, without
 
 #: Kinds in the order in which spans with one start are listed. The first three are reported wherever they are found.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -127,19 +127,19 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", reach: int = 160) -
 
     start and end (exclusive) count code points of the whole text; partner is the start of the linked part, or -1. A null
     or empty text has an empty array. Each row stands for itself: nothing is shuffled, one text is in memory at a time
-    beside its batch. Rows that repeat get equal results, other columns stay."""
+    beside its batch. Rows that repeat get equal results. A column named secrets gives way, other columns stay."""
 
     @F.pandas_udf(SPANS)
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([[{"kind": KINDS[k], "start": s, "end": e, "partner": p} for s, k, e, p in link(t, reach)] for t in batch], dtype=object)
 
-    return docs.withColumn("secrets", find(text_or_empty(text_col)))
+    return without(docs, "secrets").withColumn("secrets", find(text_or_empty(text_col)))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", reach: int = 160, mark: str = "[redacted]") -> DataFrame:
     """docs with every reported span of text_col replaced by mark; spans that overlap or touch become one mark. Null texts
-    stay null."""
+    stay null, empty ones empty. Rows that repeat get equal results, other columns stay."""
 
     def cleaned(text: str | None) -> str | None:
         out, last = [], 0

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import hashing as H
-from threadloom.llm.shared import shared_table, text_or_empty
+from threadloom.llm.shared import shared_table, text_or_empty, without
 
 U = np.uint64
 #: (bits b, lexicons): so many lexicons that each hold a term with a probability of 2**-b. With several sizes, texts of any
@@ -77,7 +77,7 @@ def fingerprints(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
             for i in range(lexicons):
                 place = i * bits % (64 - 64 % bits) if bits else 0
                 if place == 0:
-                    chance = H.mix(found + U((bits << 16) + i + 1) * U(0x9E3779B97F4A7C15))
+                    chance = H.mix(found + U(((bits << 16) + i + 1) * 0x9E3779B97F4A7C15 % 2**64))
                 member = (chance >> U(place)) & U((1 << bits) - 1) == 0
                 held = np.add.reduceat(np.where(member, value, U(0)), begin)
                 out[rows, j] = np.where(held == 0, 0, H.mix(held) >> U(48) | U(1))
@@ -96,7 +96,8 @@ def as_text(found: np.ndarray) -> pa.Array:
 
 
 def fingerprint(docs: DataFrame, *, text_col: str = "text", terms: np.ndarray | None = None, **band) -> DataFrame:
-    """docs with fingerprint: SIZE numbers of four hexadecimal digits. A null text counts as empty; other columns stay.
+    """docs with fingerprint: SIZE numbers of four hexadecimal digits. A null or empty text has zeros only; rows that repeat
+    get equal fingerprints. A column named fingerprint gives way, other columns stay.
 
     Nothing but term counts is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text_col=text_col, **band) if terms is None else terms)
@@ -106,7 +107,7 @@ def fingerprint(docs: DataFrame, *, text_col: str = "text", terms: np.ndarray |
         for batch in texts:
             yield pd.Series(as_text(fingerprints(pa.array(batch, pa.string()), sent.value)).to_pylist(), dtype=object)
 
-    return docs.withColumn("fingerprint", make(text_or_empty(text_col)))
+    return without(docs, "fingerprint").withColumn("fingerprint", make(text_or_empty(text_col)))
 
 
 def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, **band) -> DataFrame:
@@ -117,7 +118,7 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Rows are dealt by ranges of ids, bounded by quantiles; each range also gets the row that follows it. Within a range
     rows come in falling order, so that one text, the next one, is held. Of rows with one id, the one whose text has the
     least hash is the next of the ids before; a null id comes before all others. Only ids' quantiles and the first id of
-    each range, a few numbers for each range, reach the driver."""
+    each range, a few numbers for each range, reach the driver. An id of -2**63 counts as null. An empty table gives no rows."""
     spark = docs.sparkSession
     terms = spark.sparkContext.broadcast(lexicon(docs, text_col=text_col, **band))
     data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), text_or_empty(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))

@@ -200,10 +200,10 @@ def _members(group: pa.Table, k: int) -> tuple[np.ndarray, list[np.ndarray], np.
     return np.array(ids, U)[order], [sets[i] for i in order], np.array(rows, np.int64)[order]
 
 
-def _edges(classes: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
-    root = classes[label]
-    own = root != classes
-    return pa.RecordBatch.from_arrays([pa.array(H.signed(classes[own])), pa.array(H.signed(root[own]))], ["a", "b"])
+def _edges(ids: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    root = ids[label]
+    own = root != ids
+    return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(root[own])], ["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, region_rows: int = REGION_ROWS, split_pivots: int = SPLIT_PIVOTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -240,14 +240,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shared = shared_table(keyed().groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot <> last").select("key", "pivot"), "jaccard-parts")
     bits = data.sparkSession.sparkContext.broadcast(filter_of(shared))
     regions = keyed(bits).join(shared, "key").select("pivot", "cls").distinct()
-    first = rows.where(F.col("id").isNotNull()).groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    first = shared_table(rows.where(F.col("id").isNotNull()).groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n")), "jaccard-classes")
     regions = _narrowed(shared_table(regions.join(first, "cls"), "jaccard-regions"), rows, num, den, region_rows)
     edges = _solve(data, regions, words, num, den, region_rows, split_pivots, broadcast_rows)
-    labels = components(edges)
-    named = rows.join(labels, rows["cls"] == labels["node"], "left").select("id", "n", F.coalesce("component", "cls").alias("component"))
+    # Classes go by their least id, so that the least one that links reach is the component; each joins its own rows only.
+    own = first.where("n > 0").select(F.col("cls").alias("of"), "id").join(components(edges), F.col("id") == F.col("node"), "left")
+    own = shared_table(own.select("of", F.coalesce("component", "id").alias("least")), "jaccard-least")
+    own = F.broadcast(own) if own.count() <= broadcast_rows else own
+    out = rows.join(own, rows["cls"] == own["of"], "left")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
-    least = named.where(linked).groupBy("component").agg(F.min("id").alias("least"))
-    out = named.join(least, "component", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(linked, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -323,13 +324,13 @@ def _narrowed(regions: DataFrame, rows: DataFrame, num: int, den: int, region_ro
 
 
 def _solve(data: DataFrame, regions: DataFrame, words: int, num: int, den: int, region_rows: int, split_pivots: int, broadcast_rows: int) -> DataFrame:
-    """Edges (a, b) between classes that connect what links connect, from regions (pivot, cls, id, n)."""
+    """Edges (a, b) between the least ids of classes that connect what links connect, from regions (pivot, cls, id, n)."""
 
     def small(batches):
         for group in _groups(batches, "pivot"):
-            ids, sets, _ = _members(group, words)
-            if len(ids) > 1:
-                yield _edges(ids, connect(sets, num, den))
+            _, sets, at = _members(group, words)
+            if len(at) > 1:
+                yield _edges(group["id"].to_numpy()[at], connect(sets, num, den))
 
     found, rows = [], None
     while True:
@@ -368,7 +369,8 @@ def _split(data: DataFrame, large: DataFrame, words: int, num: int, den: int, re
         for group in _groups(batches, "task"):
             for region in np.unique(group["pivot"].to_numpy()):
                 own = group.filter(pa.compute.equal(group["pivot"], int(region)))
-                pids, psets, _ = _members(own.filter(own["is_pivot"]), words)
+                pids, psets, pivots_at = _members(own.filter(own["is_pivot"]), words)
+                pivot_docs = own.filter(own["is_pivot"])["id"].to_numpy()[pivots_at]
                 ids, sets, at = _members(own.filter(pa.compute.invert(own["is_pivot"])), words)
                 docs, n = (own.filter(pa.compute.invert(own["is_pivot"]))[c].to_numpy()[at] for c in ("id", "n"))
                 all_sets = Region(psets + sets)
@@ -379,12 +381,12 @@ def _split(data: DataFrame, large: DataFrame, words: int, num: int, den: int, re
                 p, m = np.nonzero((far - far.min(axis=0) <= 2 * radius) & (far < 1))
                 name = H.mix(pids[p] ^ H.mix(np.full(len(p), region).view(U)))
                 linked = den * both[p, m] >= num * either[p, m]
-                yield pa.RecordBatch.from_arrays([pa.array(H.signed(name)), pa.array(H.signed(ids[m])), pa.array(docs[m]), pa.array(n[m]), pa.array(H.signed(pids[p])), pa.array(linked)], ["pivot", "cls", "id", "n", "a", "linked"])
+                yield pa.RecordBatch.from_arrays([pa.array(H.signed(name)), pa.array(H.signed(ids[m])), pa.array(docs[m]), pa.array(n[m]), pa.array(pivot_docs[p]), pa.array(linked)], ["pivot", "cls", "id", "n", "a", "linked"])
                 lone = np.flatnonzero(far.min(axis=0) >= 1 - 2 * radius)  # may lie outside all pivots' reach: one more cell
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lone), H.signed(H.mix(np.array([region]).view(U)))[0])), pa.array(H.signed(ids[lone])), pa.array(docs[lone]), pa.array(n[lone]), pa.array(H.signed(ids[lone])), pa.array(np.zeros(len(lone), bool))], ["pivot", "cls", "id", "n", "a", "linked"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lone), H.signed(H.mix(np.array([region]).view(U)))[0])), pa.array(H.signed(ids[lone])), pa.array(docs[lone]), pa.array(n[lone]), pa.array(docs[lone]), pa.array(np.zeros(len(lone), bool))], ["pivot", "cls", "id", "n", "a", "linked"])
 
     out = shared_table(_with_text(data, task, broadcast_rows).repartition("task").sortWithinPartitions("task").mapInArrow(cells, "pivot long, cls long, id long, n long, a long, linked boolean"), "jaccard-cells")
-    return out.where("linked").select("a", F.col("cls").alias("b")), out.select("pivot", "cls", "id", "n").distinct()
+    return out.where("linked").select("a", F.col("id").alias("b")), out.select("pivot", "cls", "id", "n").distinct()
 
 
 def _least(large: DataFrame, count: int) -> DataFrame:
@@ -403,8 +405,8 @@ def _chunks(data: DataFrame, large: DataFrame, words: int, num: int, den: int, r
 
     def compare(batches):
         for group in _groups(batches, "task"):
-            ids, sets, _ = _members(group, words)
-            if len(ids) > 1:
-                yield _edges(ids, connect(sets, num, den))
+            _, sets, at = _members(group, words)
+            if len(at) > 1:
+                yield _edges(group["id"].to_numpy()[at], connect(sets, num, den))
 
     return shared_table(_with_text(data, task.select("task", "cls", "id"), broadcast_rows).repartition("task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long"), "jaccard-chunk-edges")

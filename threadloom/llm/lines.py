@@ -1,14 +1,14 @@
 """Quality rules by cross-document line frequency (operator 6) and site-relative line dedup (operator 8).
 
-Both count, for every host, the distinct page texts that hold a normalised line. Exact copies of a page are one page
-text, so that copying a page doesn't make its lines boilerplate. Only functions of Spark SQL are used.
+Both count, for every host, the documents that hold a normalised line; each row is a document. Only functions of Spark SQL
+are used.
 
 The lines of a host that exceed a share of its pages number less than (lines a page / share), whatever the host's size,
 so that a host's array of such lines is bounded. The table of those arrays has a row for each host that has any; it is
 counted, broadcast up to `broadcast_rows`, and joined by a shuffle beyond that.
 
-Nulls: a null text counts as empty, a null host as a host of its own. Rows that repeat get equal results. Other columns
-are passed on as they are.
+Nulls: a null text counts as empty, a null host as a host of its own. Rows that repeat count each and get equal results.
+An empty table gives no rows. Columns with a result's name give way to it; others are passed on as they are.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import SPACE, SPACE_CHARS, checked_broadcast, let, shared_table, text_or_empty, word_array, word_count
+from threadloom.llm.shared import SPACE, SPACE_CHARS, checked_broadcast, columns, let, shared_table, text_or_empty, unused, without, word_array, word_count
 
 BROADCAST_ROWS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,39 +40,40 @@ def line_hash(line: Column) -> Column:
 
 
 def frequent_lines(docs: DataFrame, *, text_col: str, host_col: str, min_pages: int, max_share: float) -> DataFrame:
-    """host, frequent array<bigint>: hashes of the lines on more than max_share of the host's distinct page texts, and on
-    min_pages of them at least. One row for each host that has such lines.
-
-    Every line of every page is counted. (host, line, page) triples are made distinct with partial aggregation before
-    each shuffle, so a hot line or host arrives as one row for each map task and page."""
-    text = text_or_empty(text_col)
-    pages = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("host"), text.alias("t")).select("host", F.xxhash64("t").alias("page"), F.array_distinct(F.transform(F.filter(split_lines(F.col("t")), has_word), line_hash)).alias("lines"))
-    totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = pages.select("host", "page", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    """host, frequent array<bigint>: hashes of the lines in more than max_share of the host's documents, and in min_pages of
+    them at least. One row for each host that has such lines.
+
+    Every line of every document is counted, once for each document. Counts are summed before they are shuffled, so a hot
+    line or host arrives as one row for each map task."""
+    pages = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("host"), text_or_empty(text_col).alias("t"))
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter(split_lines(F.col("t")), has_word), line_hash))).alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return counts.join(totals, "host").where(F.col("n") > F.col("pages") * max_share).groupBy("host").agg(F.collect_list("line").alias("frequent"))
 
 
-def _with_frequent(docs: DataFrame, found: DataFrame, host_col: str, broadcast_rows: int) -> DataFrame:
-    side = checked_broadcast(shared_table(found, "frequent-lines"), broadcast_rows).select(F.col("host").alias("__host"), F.col("frequent").alias("__frequent"))
-    on = F.coalesce(docs[host_col].cast("string"), F.lit("\0")) == side["__host"]
-    return docs.join(side, on, "left").drop("__host")
+def _with_frequent(docs: DataFrame, found: DataFrame, host_col: str, broadcast_rows: int) -> tuple[DataFrame, Column]:
+    """docs with the frequent lines of each row's host, and the column that has them."""
+    host, frequent = unused(docs, "host"), unused(docs, "frequent")
+    side = checked_broadcast(shared_table(found, "frequent-lines"), broadcast_rows).select(F.col("host").alias(host), F.col("frequent").alias(frequent))
+    on = F.coalesce(docs[host_col].cast("string"), F.lit("\0")) == side[host]
+    return docs.join(side, on, "left"), F.coalesce(frequent, F.array().cast("array<bigint>"))
 
 
 def drop_frequent_lines(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_pages: int = 10, max_share: float = 0.1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Operator 8. docs with text_col rewritten without the lines that more than max_share of the host's distinct pages
-    hold, and with n_lines, n_dropped (long): \\n-split lines with a word, and those dropped.
+    """Operator 8. docs with text_col rewritten without the lines that more than max_share of the host's documents hold
+    (and min_pages of them at least, as on a host of a few pages any line is on a large share), and with n_lines, n_dropped (long): \\n-split lines with a word, and those dropped.
 
     A text that loses no line keeps its bytes; a null text stays null with 0 lines."""
     found = frequent_lines(docs, text_col=text_col, host_col=host_col, min_pages=min_pages, max_share=max_share)
-    both = _with_frequent(docs, found, host_col, broadcast_rows)
-    none = F.array().cast("array<bigint>")
-    lines = split_lines(text_or_empty(text_col))
-    frequent = F.coalesce("__frequent", none)
+    docs = without(docs, "n_lines", "n_dropped")
+    both, frequent = _with_frequent(docs, found, host_col, broadcast_rows)
+    lines, gone_ = split_lines(text_or_empty(text_col)), unused(both, "gone")
     gone = F.when(F.size(frequent) == 0, F.array().cast("array<string>")).otherwise(F.filter(lines, lambda x: has_word(x) & F.array_contains(frequent, line_hash(x))))
-    out = both.withColumn("n_lines", F.size(F.filter(lines, has_word)).cast("long")).withColumn("__gone", gone)
-    out = out.withColumn("n_dropped", F.size("__gone").cast("long"))
+    out = both.withColumn("n_lines", F.size(F.filter(lines, has_word)).cast("long")).withColumn(gone_, gone)
+    out = out.withColumn("n_dropped", F.size(gone_).cast("long"))
     keep = F.array_join(F.filter(lines, lambda x: ~(has_word(x) & F.array_contains(frequent, line_hash(x)))), "\n")
-    return out.withColumn(text_col, F.when(F.col("n_dropped") == 0, F.col(text_col)).otherwise(keep)).drop("__gone", "__frequent")
+    return out.withColumn(text_col, F.when(F.col("n_dropped") == 0, F.col(text_col)).otherwise(keep)).select(*columns(docs), "n_lines", "n_dropped")
 
 
 def repeated_words(words: Column) -> Column:
@@ -95,20 +96,21 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", host_col: str = "s
     (long: words outside the host's frequent lines) and kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_share of them in repeated three-word windows. kept:
-    not base_failed, and at least min_left of the words are left once the lines are removed that occur on min_pages
-    distinct pages of the host and on more than max_share of them. An empty or null text has no words and fails."""
+    not base_failed, and at least min_left of the words are left once the lines are removed that occur in min_pages
+    documents of the host and in more than max_share of them. An empty or null text has no words and fails."""
     found = frequent_lines(docs, text_col=text_col, host_col=host_col, min_pages=min_pages, max_share=max_share)
-    both = _with_frequent(docs, found, host_col, broadcast_rows)
-    text, frequent = text_or_empty(text_col), F.coalesce("__frequent", F.array().cast("array<bigint>"))
+    docs = without(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", "kept")
+    both, frequent = _with_frequent(docs, found, host_col, broadcast_rows)
+    text, w, gone = text_or_empty(text_col), unused(docs, "words"), unused(docs, "gone")
     lines = F.filter(split_lines(text), has_word)
     out = both.select(
-        *docs.columns,
-        let(word_array(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("__w"),
+        *columns(docs),
+        let(word_array(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias(w),
         F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(frequent) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.filter(lines, lambda x: F.array_contains(frequent, line_hash(x))), F.lit(0).cast("long"), lambda a, x: a + word_count(x))).alias("__gone"),
+        F.when(F.size(frequent) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.filter(lines, lambda x: F.array_contains(frequent, line_hash(x))), F.lit(0).cast("long"), lambda a, x: a + word_count(x))).alias(gone),
     )
-    out = out.select(*docs.columns, F.col("__w")["n"].alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("__w")["r"].alias("n_repeat_words"), (F.col("__w")["n"] - F.col("__gone")).alias("words_left"))
+    out = out.select(*columns(docs), F.col(w)["n"].alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col(w)["r"].alias("n_repeat_words"), (F.col(w)["n"] - F.col(gone)).alias("words_left"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("words_left") >= min_left * F.col("n_words")))

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import shared_table, text_or_empty, word_count
+from threadloom.llm.shared import shared_table, text_or_empty, unused, word_count
 
 
 def choose_boundaries(histogram: Iterable[tuple[int, int]], buckets: int, multiple_of: int = 1) -> list[int]:
@@ -69,10 +69,17 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
 
     Rows are numbered without a global sort: they fall into chunks of about chunk_rows by a hash, are numbered within
     bucket and chunk, and get the rows of earlier chunks of the bucket added. Rows that repeat each get a slot. Where ids
-    tie, the text's hash and then the length decide. An empty table gives an empty result."""
+    tie, the text's hash and then the length decide. An empty table gives an empty result. Columns of keep with a result's
+    name give way to it."""
     length = F.coalesce(F.col(length_col).cast("long"), F.lit(0).cast("long")) if length_col else word_count(text_or_empty(text_col))
     mark = F.xxhash64(F.col(id_col), *([F.col(text_col)] if text_col in docs.columns else []))
-    rows = shared_table(docs.select(F.col(id_col), *[F.col(c) for c in keep if c != id_col], length.alias("n_tokens"), mark.alias("__mark")), "packing-lengths")
+    results = ("n_tokens", "bucket", "padded_length", "batch_id", "slot")
+    if id_col.lower() in results:
+        raise ValueError(f"{id_col} is the name of a result")
+    keep = tuple(c for c in keep if c != id_col and c.lower() not in results)
+    own = docs.select(id_col, *keep)
+    mark_, chunk_, n_, before_, at_ = (unused(own, x) for x in ("mark", "chunk", "rows", "before", "at"))
+    rows = shared_table(docs.select(F.col(id_col), *[F.col(c) for c in keep], length.alias("n_tokens"), mark.alias(mark_)), "packing-lengths")
     small = F.col("n_tokens") < token_budget
     histogram = [(r["n_tokens"], r["n"]) for r in rows.groupBy(F.when(small, F.col("n_tokens")).alias("n_tokens")).agg(F.count("*").alias("n")).collect()]
     total, histogram = sum(n for _, n in histogram), [x for x in histogram if x[0] is not None]
@@ -87,13 +94,13 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", len
         start += -(-n // fit)
     chunks = max(1, -(-total // chunk_rows))
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= b, F.lit(i)) for i, b in enumerate(ends[:-1])], F.when(small, F.lit(len(ends) - 1)), F.lit(-1))
-    rows = rows.withColumn("bucket", bucket).withColumn("__chunk", F.pmod("__mark", F.lit(chunks)))
-    sizes = rows.groupBy("bucket", "__chunk").agg(F.count("*").alias("__n"))
-    before = sizes.select("bucket", "__chunk", (F.sum("__n").over(Window.partitionBy("bucket").orderBy("__chunk")) - F.col("__n")).alias("__before"))
-    order = Window.partitionBy("bucket", "__chunk").orderBy(F.col(id_col), "__mark", "n_tokens")
-    at = rows.withColumn("__at", F.row_number().over(order)).join(before, ["bucket", "__chunk"]).withColumn("__at", F.col("__at") + F.col("__before") - 1)
+    rows = rows.withColumn("bucket", bucket).withColumn(chunk_, F.pmod(mark_, F.lit(chunks)))
+    sizes = rows.groupBy("bucket", chunk_).agg(F.count("*").alias(n_))
+    before = sizes.select("bucket", chunk_, (F.sum(n_).over(Window.partitionBy("bucket").orderBy(chunk_)) - F.col(n_)).alias(before_))
+    order = Window.partitionBy("bucket", chunk_).orderBy(F.col(id_col), mark_, "n_tokens")
+    at = rows.withColumn(at_, F.row_number().over(order)).join(before, ["bucket", chunk_]).withColumn(at_, F.col(at_) + F.col(before_) - 1)
     pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket") + 1)
     alone = F.col("bucket") < 0
     out = at.withColumn("padded_length", F.when(alone, F.ceil(F.col("n_tokens") / multiple_of) * multiple_of).otherwise(pick(ends)))
-    out = out.withColumn("batch_id", F.when(alone, F.lit(start) + F.col("__at")).otherwise(pick(first) + F.floor(F.col("__at") / pick(fits)))).withColumn("slot", F.when(alone, F.lit(0)).otherwise(F.col("__at") % pick(fits)).cast("long"))
-    return out.select(id_col, *[c for c in keep if c != id_col], "n_tokens", "bucket", F.col("padded_length").cast("long").alias("padded_length"), "batch_id", "slot")
+    out = out.withColumn("batch_id", F.when(alone, F.lit(start) + F.col(at_)).otherwise(pick(first) + F.floor(F.col(at_) / pick(fits)))).withColumn("slot", F.when(alone, F.lit(0)).otherwise(F.col(at_) % pick(fits)).cast("long"))
+    return out.select(id_col, *keep, "n_tokens", "bucket", F.col("padded_length").cast("long").alias("padded_length"), "batch_id", "slot")

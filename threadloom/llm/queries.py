@@ -105,8 +105,8 @@ l AS (
   FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)
   WHERE trim(line, {trim}) <> ''),
 frequent AS (
-  SELECT host, norm FROM l JOIN (SELECT host, count(DISTINCT text) AS pages FROM d GROUP BY host) USING (host)
-  GROUP BY host, norm, pages HAVING count(DISTINCT text) >= {min_pages} AND count(DISTINCT text) > pages * {share})"""
+  SELECT host, norm FROM l JOIN (SELECT host, count(*) AS pages FROM d GROUP BY host) USING (host)
+  GROUP BY host, norm, pages HAVING count(DISTINCT doc_id) >= {min_pages} AND count(DISTINCT doc_id) > pages * {share})"""
 
 
 def oracle_sql() -> dict[str, str]:

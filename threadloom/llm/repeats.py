@@ -80,7 +80,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Removed is every byte inside a run of `length` bytes that also starts earlier: in a text with a smaller id, or earlier
     in the same one. A null text counts as empty; a null id is smaller than any other. Of rows with one id neither is the
-    earlier. Texts are read whole, one block in memory at a time."""
+    earlier; rows that repeat come back each. An id of -2**63 counts as null. An empty table gives no rows. Of docs only the
+    id and the text are read, whatever its other columns are called. Texts are read whole, one block in memory at a time."""
     data = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).cast("binary").alias("text")).withColumn("mark", F.xxhash64("text"))
     context = data.sparkSession.sparkContext
 
@@ -113,7 +114,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     place = shared_table(place.where("later OR n > 1").drop("n"), "repeats-places")
 
     def with_runs(table: DataFrame, how: str) -> DataFrame:
-        side = table.groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("runs")).select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "runs")
+        side = table.groupBy("id", "mark").agg(F.collect_set(F.struct("low", "high")).alias("runs")).select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "runs")
         side = F.broadcast(side) if table.count() <= broadcast_runs else side
         return data.join(side, (data["id"] == side["id2"]) & (data["mark"] == side["mark2"]), how).select("id", "mark", "text", "runs")
 
