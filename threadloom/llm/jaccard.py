@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import hashing as H
 from threadloom.llm.components import components, filter_of, passes
-from threadloom.llm.shared import shared_table, text_or_empty
+from threadloom.llm.shared import checked_broadcast, shared_table, text_or_empty
 
 U = np.uint64
 REGION_ROWS = 4096
@@ -276,7 +276,8 @@ def _with_text(data: DataFrame, regions: DataFrame, broadcast_rows: int) -> Data
 def _sized(regions: DataFrame) -> DataFrame:
     """regions with size: members, or more if their sets are larger than ELEMENTS on average."""
     size = F.greatest(F.count("*"), F.ceil(F.sum("n") / ELEMENTS))
-    return regions.join(regions.groupBy("pivot").agg(size.alias("size")), "pivot")
+    sizes = shared_table(regions.groupBy("pivot").agg(size.alias("size")), "jaccard-sizes")
+    return regions.join(checked_broadcast(sizes, BROADCAST_ROWS), "pivot")
 
 
 def counts_of(elements: np.ndarray, begins: np.ndarray) -> np.ndarray:
