@@ -22,15 +22,59 @@ def test_scan_review_and_edit(spark):
 
 
 def test_explicit_statements_and_budget(spark):
-    rows = spark.createDataFrame([("m", "I like rain. Do I like sun?\n> I quote this line.\n```\nI am code inside here.\n```\nMy cat sleeps."), ("n", "I like rain.")], "id string, text string")
+    rows = spark.createDataFrame(
+        [
+            ("m", "I like rain. Do I like sun?\n> I like quoted lines.\n  ```py\nI am code inside here.\n```\nMy cat sleeps.\r\n“I want this quoted.\nI want  tea！我喜欢下雨天。I am", 2.0),
+            ("n", "I like RAIN.\n```\nI want no end", 3.0),
+            ("o", "i like rain.", None),
+        ],
+        "id string, text string, at double",
+    )
     got = memory.explicit_statements(rows)
-    assert sorted(r["statement"] for r in got.collect()) == ["I like rain.", "I like rain.", "My cat sleeps."]
-    groups = memory.consolidate(got.selectExpr("'s' AS kind", "statement", "id"), kind="kind", text_col="statement", source="id")
+    assert sorted((r["id"], r["kind"], r["statement"]) for r in got.collect()) == [("m", "preference", "I like rain."), ("m", "preference", "I want  tea！"), ("m", "preference", "我喜欢下雨天。"), ("n", "preference", "I like RAIN."), ("o", "preference", "i like rain.")]
+    groups = memory.consolidate(got, kind="kind", text_col="statement", source="id", time_col="at", keep_sources=2)
     first = groups.collect()[0]
-    assert first["norm"] == "i like rain." and first["n_sources"] == 2
+    assert first["norm"] == "i like rain." and first["statement"] == "I like RAIN." and first["n_sources"] == 3 and first["sources"] == ["n", "m"]
     assert [r["norm"] for r in memory.greedy_budget(groups, "norm", budget_chars=13)] == ["i like rain."]
 
 
+def test_related_takes_the_whole_texts_ratio(spark):
+    import difflib
+
+    rows = [("a", "I want to learn the cello."), ("b", "I never want to learn the cello."), ("c", "I want to learn the violin."), ("d", "I want x"), ("e", "i want  to learn the CELLO.")]
+    found = spark.createDataFrame([(i, "plan", s, "t1" if i in "ad" else "t2") for i, s in rows], "candidate_id string, kind string, statement string, thread string")
+    got = {r["candidate_id"]: (r["relation"], r["score"]) for r in memory.related(found, found.where("candidate_id = 'a'"), thread="thread").collect()}
+    one = "i want to learn the cello."
+    ratio = lambda x: difflib.SequenceMatcher(None, one, x).ratio()
+    assert got["e"] == ("duplicate", 1.0) and got["b"] == ("possible_conflict", 1.0)
+    assert got["c"] == ("related", round(ratio("i want to learn the violin."), 3))
+    assert got.get("d") == (("related", round(ratio("i want x") + 0.08, 3)) if ratio("i want x") >= 0.42 else None)
+
+
+def test_remember_profile_and_feedback(spark):
+    from threadloom.operators import annotations
+
+    messages = spark.createDataFrame([("m1", "user", "I like rain a lot"), ("m2", "assistant", "You like rain"), ("m3", "user", "I like sun")], "message_id string, role string, text string")
+    none = spark.createDataFrame([], "message_id string, quote string, kind string, created_at string")
+    kept = memory.remember(none, messages, "m1", "I like rain", "2024-01-01")
+    assert memory.remember(kept, messages, "m1", "I like rain", "2024-01-02").count() == 1
+    for bad in (("m2", "You like rain"), ("m1", "i like rain"), ("m1", " "), ("m9", "x")):
+        with pytest.raises(ValueError):
+            memory.remember(kept, messages, *bad, "2024-01-01")
+    log = spark.createDataFrame([], annotations.FEEDBACK)
+    for i, (message, action) in enumerate([("m1", "outdated"), ("m3", "excluded"), ("m3", "restored")]):
+        log = annotations.add_feedback(log, message, action, f"2024-02-0{i + 1}T00:00:00")
+    assert [(r["id"], r["valid_until"]) for r in log.orderBy("id").collect()] == [(1, "2024-02-01"), (2, None), (3, None)]
+    for bad in ({"action": "gone"}, {"action": "corrected"}, {"action": "quoted", "valid_from": "2024-02-02", "valid_until": "2024-02-01"}):
+        with pytest.raises(ValueError):
+            annotations.add_feedback(log, "m1", at="2024-01-01", **bad)
+    confirmed = spark.createDataFrame([("m3", "I like sun", "preference"), ("m1", "I like rain", "preference"), ("m9", "gone", "plan")], "message_id string, statement string, kind string")
+    got = {(r["message_id"], r["status"], r["state"]) for r in memory.profile(confirmed, kept, messages, log).collect()}
+    assert got == {("m1", "confirmed", "historical"), ("m3", "confirmed", "current")}
+    places = spark.createDataFrame([("s", "c", "m1", 1), ("s", "c", "m3", 2)], "snapshot_key string, conversation_id string, message_id string, updated_at int")
+    assert [r["message_id"] for r in annotations.positions(places).collect()] == ["m3"]
+
+
 def test_budget_goes_on_past_many_long_statements(spark):
     from pyspark.sql import functions as F
 
@@ -41,15 +85,20 @@ def test_budget_goes_on_past_many_long_statements(spark):
 
 
 def test_hits_and_budget(spark):
-    rows = spark.createDataFrame([("c1", "m1", "user", "alpha beta", 1.0), ("c1", "m2", "assistant", "alpha", 2.0), ("c2", "m3", "assistant", "x alpha", 3.0), ("c2", "m4", "system", "alpha", 4.0)], "thread string, message string, role string, text string, at double")
-    hits = recall.keyword_hits(rows, "ALPHA", thread="thread", message="message", text_col="text", role_col="role", time_col="at")
-    assert [r["message"] for r in hits.collect()] == ["m3", "m1"]
+    rows = spark.createDataFrame([("c1", "m1", "user", "alpha beta", 1.0), ("c1", "m2", "assistant", "alpha", 2.0), ("c2", "m3", "assistant", "x alpha", 3.0), ("c2", "m4", "system", "alpha", 4.0), ("c3", "m5", "user", "z" * 2000 + "Alpha" + "y" * 2000, None)], "thread string, message string, role string, text string, at double")
+    names = {"thread": "thread", "message": "message", "text_col": "text", "role_col": "role", "time_col": "at"}
+    found = lambda **more: [r["message"] for r in recall.keyword_hits(rows, " ALPHA", **names, **more).collect()]
+    assert found() == ["m1", "m5"] and found(role="all") == ["m3", "m1", "m5"] and found(role="assistant", per_thread=2) == ["m3", "m2"]
+    assert found(role="all", excluded=spark.createDataFrame([("m3",)], "message string")) == ["m1", "m5"] and found(limit=1) == ["m1"]
+    for bad in ({"limit": 21}, {"per_thread": 0}, {"role": "any"}):
+        with pytest.raises(ValueError):
+            found(**bad)
     from pyspark.sql import functions as F
 
-    got = recall.within_budget(hits, [F.desc("at")], "alpha", "text", budget_chars=8)
-    assert [x["text"] for x in got] == ["x alpha"] or len(got) == 1
-    gone = spark.createDataFrame([("m3",)], "message string")
-    assert [r["message"] for r in recall.keyword_hits(rows, "alpha", thread="thread", message="message", text_col="text", role_col="role", time_col="at", excluded=gone).collect()] == ["m1"]
+    got = recall.within_budget(recall.keyword_hits(rows, "alpha", **names), [F.desc(F.coalesce("at", F.lit(0)))], "alpha", "text", budget_chars=500)
+    assert [(x["message"], x["text_offset"], len(x["text"]), x["truncated"]) for x in got] == [("m1", 0, 10, False), ("m5", 2000 - 490 // 4, 490, True)]
+    near = recall.context(rows, rows.where("message = 'm1'"), thread="thread", order=[F.asc("at")], message="message")
+    assert {r["message"]: r["text_size"] for r in recall.context_sizes(near, anchored=True, budget_chars=6000).collect()} == {"m1": 4000, "m2": 2000}
 
 
 def test_chunks_and_fusion(spark):

@@ -147,3 +147,68 @@ def test_text_functions(spark):
     assert value(text.validity(lit("2024-01-01"), lit("2024-06-01"), "2024-03-01", lit(False))) == "within_user_stated_period"
     assert value(text.validity(lit(None).cast("string"), lit("2024-06-01"), "2024-07-01", lit(False))) == "expired"
     assert value(text.like_literal(lit("100%"), "0%")) and not value(text.like_literal(lit("100x"), "0%"))
+
+
+def test_publish_never_replaces(tmp_path):
+    import hashlib
+
+    from threadloom.sources import packs
+
+    sha = hashlib.sha256(b"one").hexdigest()
+    for _ in range(2):
+        (tmp_path / "staging-a").write_bytes(b"one")
+        packs.publish(str(tmp_path / "staging-a"), str(tmp_path / "out" / "x"), sha)
+    (tmp_path / "staging-a").write_bytes(b"two")
+    with pytest.raises(ValueError):
+        packs.publish(str(tmp_path / "staging-a"), str(tmp_path / "out" / "x"), hashlib.sha256(b"two").hexdigest())
+    assert (tmp_path / "out" / "x").read_bytes() == b"one" and packs.staging_residue(str(tmp_path)) == ["staging-a"]
+
+
+def test_registries_and_records(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from threadloom.functions import text
+    from threadloom.sources import exports
+
+    (tmp_path / "names.json").write_text('{"a.dat": "A", "b": "B"}')
+    assert {(r["asset"], r["name"]) for r in exports.friendly_names(spark, str(tmp_path / "names.json")).collect()} == {("a.dat", "A"), ("a", "A"), ("b", "B"), ("b.dat", "B")}
+    (tmp_path / "library_files.json").write_text('[{"file_id": "f1"}, {"file_id": "f1"}, {"file_id": 3}]')
+    files = exports.library_files(spark, str(tmp_path / "library_files.json"))
+    assert sorted(str(r["native_id"]) for r in files.collect()) == ["None", "f1", "f1"] and [r["n"] for r in exports.repeated_ids(files).collect()] == [2]
+    times = spark.createDataFrame([("2024-01-01T00:00:00Z",), ("2024-01-01T02:00:00+02:00",), ("2024-01-01",), ("2024-01-01 00:00:00.5",), ("x",)], "t string")
+    day = 1_704_067_200_000_000
+    assert [r[0] for r in times.select(text.captured_micros(F.col("t"))).collect()] == [day, day, day, day + 500_000, None]
+    rows = spark.createDataFrame([('{"conversation_id": "c", "id": 3}', "conversation"), ('{"id": "m", "message_id": "n"}', "message_feedback"), ("[1]", "user")], "raw string, kind string")
+    assert [r[0] for r in rows.select(text.native_id(F.col("kind"), F.col("raw"))).collect()] == ["c", "m", None]
+    raws = ['{"content":{"text":"a","parts":["","b",{"text":"c"},{"text":1},2]}}', '{"content":{"parts":"abc"}}', '{"content":"x"}', "{}"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in raws], "raw string").select(text.message_text(F.col("raw"))).collect()]
+    import json
+
+    assert got == [exports.message_text(json.loads(r)) for r in raws] == ["a\n\nb\nc", "", "", ""]
+    refs = spark.createDataFrame([(" https://h/files/a.png/ ",), ("file-service://x#y",), ("a/b.dat?z#q",), ("///",), ("",)], "r string")
+    assert [r[0] for r in refs.select(text.normal_asset_reference(F.col("r"))).collect()] == ["a.png", "x", "b.dat", None, None]
+
+
+def test_tree_digest_has_fields_in_the_formats_order():
+    import hashlib
+
+    from threadloom.sources import evidence
+
+    entries = [{"path": "b", "kind": "directory"}, {"path": "a", "kind": "file", "size": 1, "sha256": "00"}]
+    assert evidence.tree_sha256(entries) == hashlib.sha256(b"file\0a\x001\x0000\0\0directory\0b\0\0\0\0").hexdigest()
+
+
+def test_deep_trees_cycles_and_strangers(spark):
+    from threadloom.operators import graph
+
+    rows = [(1, i, i - 1 if i else None) for i in range(300)] + [(1, 1000, 1001), (1, 1001, 1000), (1, 1002, 1000), (1, 1003, 5000), (1, 1004, 1003), (2, 7, None)]
+    got = {(r["g"], r["n"]): r["depth"] for r in graph.reachable(spark.createDataFrame(rows, "g int, n int, p int"), group="g", node="n", parent="p").collect()}
+    assert got == {(1, i): i for i in range(300)} | {(2, 7): 0}
+
+
+def test_digest_chain(spark):
+    from threadloom.operators import validation
+
+    good = "a" * 64
+    rows = spark.createDataFrame([("s", 0, good), ("s", 1, "x"), ("s", 3, good), ("t", 0, good)], "store string, ordinal int, digest string")
+    assert sorted((r["store"], r["ordinal"], r["fault"]) for r in validation.digest_chain(rows, group="store", order="ordinal", digest="digest").collect()) == [("s", 1, "digest"), ("s", 3, "ordinal")]

@@ -54,8 +54,77 @@ def json_pointer_component(text: Column) -> Column:
 
 def normal_asset_reference(reference: Column) -> Column:
     """The last path component of a reference without fragment, query and scheme; null if nothing is left."""
-    bare = F.regexp_replace(F.regexp_replace(reference, r"[#?].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "")
-    return F.nullif(F.regexp_extract(bare, r"([^/]*)$", 1), F.lit(""))
+    bare = F.rtrim(F.regexp_replace(F.regexp_replace(reference, r"(?U)^\s+|\s+$", ""), r"(?s)[#?].*$", ""), F.lit("/"))
+    path = F.rtrim(F.regexp_replace(bare, r"(?s)^.*?://", ""), F.lit("/"))
+    return F.nullif(F.substring_index(path, "/", -1), F.lit(""))
+
+
+#: Kinds of records by the names of their files.
+RECORD_KINDS = {
+    "group_chats.json": "group_chats",
+    "shared_conversations.json": "shared_conversation",
+    "message_feedback.json": "message_feedback",
+    "library_files.json": "library_file",
+    "conversation_asset_file_names.json": "conversation_asset_registry",
+    "user_settings.json": "user_settings",
+    "user.json": "user",
+    "ads.json": "ads",
+    "export_manifest.json": "provider_export_manifest",
+}
+
+
+def record_kind(path: Column) -> Column:
+    """The kind of an export file's records; unknown files are named by their stem."""
+    name = F.substring_index(path, "/", -1)
+    kinds = F.create_map(*[F.lit(x) for pair in RECORD_KINDS.items() for x in pair])
+    other = F.concat(F.lit("provider_json:"), F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
+    return F.when(F.rlike(name, F.lit(r"^conversations(-[0-9]+)?\.json$")), "conversation").otherwise(F.coalesce(F.try_element_at(kinds, name), other))
+
+
+def native_id(kind: Column, raw: Column) -> Column:
+    """The first text among the keys that hold a record's id; keys depend on the kind."""
+    record = F.try_parse_json(raw)
+    text = lambda key: F.when(F.schema_of_variant(F.try_variant_get(record, f"$.{key}", "variant")) == "STRING", F.try_variant_get(record, f"$.{key}", "string"))
+    return F.when(kind == "library_file", text("file_id")).when(kind == "message_feedback", F.coalesce(text("id"), text("message_id"))).when(kind.isin("conversation", "shared_conversation"), F.coalesce(text("id"), text("conversation_id"))).otherwise(text("id"))
+
+
+def captured_micros(value: Column) -> Column:
+    """Epoch microseconds of an ISO-8601 time; without a zone it is UTC; null if it is no time."""
+    bare = F.trim(value)
+    zoned = F.rlike(bare, F.lit(r"(?i)(z|[+-][0-9]{2}:?[0-9]{2})$")) & F.contains(bare, F.lit(":"))
+    return F.unix_micros(F.try_to_timestamp(F.when(zoned, bare).otherwise(F.concat(bare, F.when(F.length(bare) <= 10, "T00:00:00Z").otherwise("Z")))))
+
+
+#: Media types by the suffixes of file names.
+MIME_TYPES = {
+    "csv": "text/csv",
+    "gif": "image/gif",
+    "htm": "text/html",
+    "html": "text/html",
+    "jpeg": "image/jpeg",
+    "jpg": "image/jpeg",
+    "json": "application/json",
+    "mp3": "audio/mpeg",
+    "mp4": "video/mp4",
+    "pdf": "application/pdf",
+    "png": "image/png",
+    "svg": "image/svg+xml",
+    "txt": "text/plain",
+    "wav": "audio/x-wav",
+    "webp": "image/webp",
+    "zip": "application/zip",
+}
+
+
+def mime_type(name: Column) -> Column:
+    """The media type a file's name speaks of, or null."""
+    types = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
+    return F.try_element_at(types, F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1)))
+
+
+def array_length(json: Column) -> Column:
+    """The number of elements of a JSON array; 0 for anything else."""
+    return F.coalesce(F.json_array_length(json), F.lit(0)).cast("long")
 
 
 def safe_component(text: Column) -> Column:
@@ -83,3 +152,15 @@ def validity(valid_from: Column, valid_until: Column, as_of: str, superseded: Co
         .when(valid_from.isNotNull() | valid_until.isNotNull(), "within_user_stated_period")
         .otherwise("historical_unverified")
     )
+
+
+def message_text(raw: Column) -> Column:
+    """The text of a message's JSON: content.text, then the parts that are texts or have one, joined by line ends; empty ones
+    count. Anything without content gives an empty text."""
+    kind = lambda v: F.schema_of_variant(v)
+    record = F.try_parse_json(raw)
+    own = F.try_variant_get(record, "$.content.text", "variant")
+    parts = F.coalesce(F.try_variant_get(record, "$.content.parts", "array<variant>"), F.array().cast("array<variant>"))
+    part = lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")).when(kind(F.try_variant_get(v, "$.text", "variant")) == "STRING", F.try_variant_get(v, "$.text", "string"))
+    first = F.when(kind(own) == "STRING", F.try_variant_get(own, "$", "string"))
+    return F.array_join(F.concat(F.array(first), F.transform(parts, part)), "\n")

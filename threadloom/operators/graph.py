@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def reachable(edges: DataFrame, *, group: str, node: str, parent: str) -> DataFrame:
-    """group, node, depth of all nodes that a root (a node without parent) reaches; nodes of a cycle aren't among them.
+def _cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so that plans of many rounds don't nest."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+    return df.checkpoint()
+
 
-    Each node has one parent, so that no cycle is reachable and the recursion ends. Every round is a join on (group,
-    parent) with the frontier alone."""
-    spark = edges.sparkSession
-    edges.select(F.col(group).alias("g"), F.col(node).alias("n"), F.col(parent).alias("p")).createOrReplaceTempView("threadloom_edges")
-    found = spark.sql("""
-WITH RECURSIVE walk(g, n, depth) MAX RECURSION LEVEL 10000 AS (
-  SELECT g, n, 0 FROM threadloom_edges WHERE p IS NULL
-  UNION ALL
-  SELECT e.g, e.n, w.depth + 1 FROM threadloom_edges e JOIN walk w ON e.g = w.g AND e.p = w.n)
-SELECT g, n, depth FROM walk""")
-    return found.select(F.col("g").alias(group), F.col("n").alias(node), F.col("depth").cast("long").alias("depth"))
+def reachable(edges: DataFrame, *, group: str, node: str, parent: str) -> DataFrame:
+    """group, node, depth of all nodes that a root (a node without parent) reaches; nodes of a cycle, below one or below an
+    unknown parent aren't among them.
+
+    Pointer doubling: each round replaces a node's pointer by its target's, so that a tree of depth d takes log2(d) rounds
+    of one equal join. As a tree has nodes of every depth up to its own, a round that brings none to a root is the last."""
+    state = edges.select(F.col(group).alias("g"), F.col(node).alias("n"), F.col(parent).alias("p"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("d"))
+    state = _cut(state)
+    arrived = state.where("p IS NULL").count()
+    while True:
+        ahead = state.select("g", F.col("n").alias("p"), F.col("p").alias("p2"), F.col("d").alias("d2"))
+        state = _cut(state.where("p IS NULL").unionByName(state.where("p IS NOT NULL").join(ahead, ["g", "p"]).select("g", "n", F.col("p2").alias("p"), (F.col("d") + F.col("d2")).alias("d"))))
+        now = state.where("p IS NULL").count()
+        if now == arrived:
+            break
+        arrived = now
+    return state.where("p IS NULL").select(F.col("g").alias(group), F.col("n").alias(node), F.col("d").alias("depth"))
 
 
 def branch_of(parents: Column, tip: Column) -> Column:
@@ -73,3 +89,11 @@ def graph_faults(nodes: DataFrame, tips: DataFrame, *, group: str, node: str, pa
     roots = nodes.groupBy(group).agg(F.count_if(F.col(parent).isNull()).alias("n")).where("n <> 1").select(group, F.lit("root_count").alias("fault"))
     every = strangers.unionByName(lost).unionByName(nowhere).unionByName(inner).unionByName(roots)
     return every.groupBy(group, "fault").agg(F.count("*").alias("n"))
+
+
+def session_branches(entries: DataFrame, leaves: DataFrame, *, group: str, node: str, parent: str, leaf: str) -> DataFrame:
+    """group, state, length: whether the path from each session's leaf to a root is complete, and how many entries it has;
+    broken (length 0) where an entry is missing or the path comes back to one."""
+    paths = current_branches(entries, leaves, group=group, node=node, parent=parent, tip=leaf).groupBy(group).agg(F.count("*").alias("length"))
+    out = leaves.select(group).distinct().join(paths, group, "left")
+    return out.select(group, F.when(F.col("length").isNull(), "broken").otherwise("complete").alias("state"), F.coalesce("length", F.lit(0).cast("long")).alias("length"))

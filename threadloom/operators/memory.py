@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import collapse_space
 from threadloom.operators.snapshots import insert_if_absent
 
-#: Rules in order; the first that matches names the kind. Own wording, in two languages, ASCII bounded where \b would differ.
+#: The patterns of the kinds, in the order in which they are tried; the first that matches names the kind.
 RULES = (
-    ("boundary", r"(?i)(^|[^a-z])(never|do not|don't) (ask|call|share|tell|use|mention|suggest)([^a-z]|$)|不要再|请勿|别再"),
-    ("preference", r"(?i)(^|[^a-z])i (really )?(prefer|like|love|dislike|hate)([^a-z]|$)|我(更)?喜欢|我讨厌|我偏好"),
-    ("identity", r"(?i)(^|[^a-z])(i am|i'm|my name is|i work|i live)([^a-z]|$)|我是|我叫|我住在"),
-    ("plan", r"(?i)(^|[^a-z])(i will|i plan|i'm going to|my goal is|i want to)([^a-z]|$)|我打算|我计划|我的目标"),
+    ("boundary", r"(?:请|以后|回答时)?.{0,6}(?:不要|别再|不需要)|\b(?:do not|don't|never)\b"),
+    ("preference", r"(?:我|本人).{0,12}(?:喜欢|偏好|习惯|希望|倾向|不喜欢|讨厌)|\bI (?:prefer|like|want)\b"),
+    ("identity", r"(?:我是|我叫|我的职业|我的专业|我目前是)|\bI am\b|\bmy (?:name|job|major) is\b"),
+    ("plan", r"(?:我|本人).{0,8}(?:打算|计划|正在|准备|想要)|\bI (?:plan|intend|am working|want to)\b"),
 )
+#: Fixed value: words that negate a statement.
+NEGATION = r"(?:不要|不喜欢|不需要|不希望|别再|讨厌|\bnot\b|\bnever\b|don't)"
+#: Letters of every script count as such at word boundaries and for case.
+ANY_SCRIPT = "(?iuU)"
 LEAST_LENGTH = 8
 STATUSES = ("pending", "confirmed", "rejected", "outdated")
 
@@ -26,7 +30,7 @@ STATUSES = ("pending", "confirmed", "rejected", "outdated")
 def classify(text: Column) -> Column:
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(RULES):
-        kind = F.when(F.rlike(text, F.lit(pattern)), name).otherwise(kind)
+        kind = F.when(F.rlike(text, F.lit(ANY_SCRIPT + pattern)), name).otherwise(kind)
     return kind
 
 
@@ -78,52 +82,107 @@ def list_candidates(state: DataFrame, *, kinds: list[str] | None = None, statuse
     return out
 
 
-def core_ratio(a: Column, b: Column) -> Column:
-    """difflib's similarity ratio of two texts."""
+def text_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """difflib's similarity ratio of two texts; 0 where its cheap upper bounds are below least."""
 
     @F.pandas_udf("double")
     def ratio(x: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for one, two in x:
-            yield pd.Series([difflib.SequenceMatcher(None, s or "", t or "").ratio() for s, t in zip(one, two, strict=True)])
+            out = []
+            for s, t in zip(one, two, strict=True):
+                m = difflib.SequenceMatcher(None, s or "", t or "")
+                out.append(m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0)
+            yield pd.Series(out, dtype="float64")
 
     return ratio(a, b)
 
 
-_NEGATION = r"(?i)(^|[^a-z])(not|never|no|don't|doesn't|without)([^a-z]|$)|不|没|别"
+def casefold(text: Column) -> Column:
+    """Lower case with the sharp s as ss, as full case folding has it; other folds of that kind are left."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
 def related(candidates: DataFrame, targets: DataFrame, *, thread: str | None = None, top: int = 8) -> DataFrame:
     """target_id, candidate_id, relation, score: the best `top` of the same kind for each target.
 
-    Equal statements are duplicates; one that differs in negation with a ratio of 0.52 or more is a possible conflict (0.2
-    more); others are related from 0.58 on, or from 0.42 in one thread (0.08 more). targets are what a reviewer looks at."""
-    fold = lambda c: F.lower(collapse_space(c))
-    t = targets.select(F.col("candidate_id").alias("target_id"), "kind", F.col("statement").alias("target"), *([F.col(thread).alias("target_thread")] if thread else []))
-    pairs = t.join(candidates, "kind").where(F.col("target_id") != F.col("candidate_id"))
-    pairs = pairs.withColumn("r", core_ratio(F.regexp_replace(fold(F.col("target")), _NEGATION, " "), F.regexp_replace(fold(F.col("statement")), _NEGATION, " ")))
-    near = F.col("target_thread").eqNullSafe(F.col(thread)) if thread else F.lit(False)
-    opposed = F.rlike(F.col("target"), F.lit(_NEGATION)) != F.rlike(F.col("statement"), F.lit(_NEGATION))
-    relation = F.when(fold(F.col("target")) == fold(F.col("statement")), "duplicate").when(opposed & (F.col("r") >= 0.52), "possible_conflict").when((F.col("r") >= 0.58) | near & (F.col("r") >= 0.42), "related")
-    score = F.when(relation == "duplicate", 1.0).when(relation == "possible_conflict", F.col("r") + 0.2).otherwise(F.col("r") + F.when(near, 0.08).otherwise(0.0))
-    scored = pairs.withColumn("relation", relation).where(F.col("relation").isNotNull()).withColumn("score", F.round(score, 6))
-    order = Window.partitionBy("target_id").orderBy(F.desc("score"), "candidate_id")
-    return scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top).select("target_id", "candidate_id", "relation", "score")
+    Equal statements are duplicates (1.0); one that differs in negation, with a ratio of 0.52 or more without the negating
+    words, is a possible conflict (0.2 more); others are related from a ratio of 0.58 on, or from 0.42 in one thread (0.08
+    more). Scores end at 1.0. targets are what a reviewer looks at; pairs whose lengths rule out a ratio of 0.42 are never
+    made into rows."""
+    fold = lambda c: collapse_space(casefold(c))
+    bare = lambda c: F.regexp_replace(c, ANY_SCRIPT + NEGATION, "")
+    negative = lambda c: F.rlike(c, F.lit(ANY_SCRIPT + NEGATION))
+    near = lambda a, b: F.least(F.length(a), F.length(b)) * 2.0 >= 0.42 * (F.length(a) + F.length(b))
+    sides = []
+    for rows, name in ((targets, "t"), (candidates, "c")):
+        text = fold(F.col("statement"))
+        sides.append(rows.select(F.col("candidate_id").alias(f"{name}_id"), "kind", text.alias(f"{name}_text"), bare(text).alias(f"{name}_bare"), negative(text).alias(f"{name}_negative"), (F.col(thread) if thread else F.lit(None).cast("string")).alias(f"{name}_thread")))
+    pairs = sides[0].join(sides[1], "kind").where((F.col("t_id") != F.col("c_id")) & (near(F.col("t_text"), F.col("c_text")) | near(F.col("t_bare"), F.col("c_bare"))))
+    pairs = pairs.withColumn("r", text_ratio(F.col("t_text"), F.col("c_text"), 0.42)).withColumn("core", text_ratio(F.col("t_bare"), F.col("c_bare"), 0.52))
+    one = F.col("t_thread") == F.col("c_thread")
+    opposed = (F.col("t_negative") != F.col("c_negative")) & (F.col("core") >= 0.52)
+    relation = F.when(F.col("t_text") == F.col("c_text"), "duplicate").when(opposed, "possible_conflict").when((F.col("r") >= 0.58) | one & (F.col("r") >= 0.42), "related")
+    score = F.when(F.col("relation") == "duplicate", 1.0).when(F.col("relation") == "possible_conflict", F.col("core") + 0.2).otherwise(F.col("r") + F.when(one, 0.08).otherwise(0.0))
+    scored = pairs.withColumn("relation", relation).where(F.col("relation").isNotNull()).withColumn("score", score)
+    order = Window.partitionBy("t_id").orderBy(F.desc("score"), "c_id")
+    best = scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top)
+    return best.select(F.col("t_id").alias("target_id"), F.col("c_id").alias("candidate_id"), "relation", F.round(F.least("score", F.lit(1.0)), 3).alias("score"))
+
+
+_BREAK = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]"
+_STRIP = r"(?U)^\s+|\s+$"
 
 
 def explicit_statements(messages: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """messages with statement: sentences in the first person, 6 to 300 characters, no question, outside code and quotes."""
-    outside = F.regexp_replace(F.col(text_col), r"(?s)```.*?(```|$)", "\n")
-    parts = F.filter(F.flatten(F.transform(F.filter(F.split(outside, "\n"), lambda x: ~F.startswith(F.ltrim(x), F.lit(">"))), lambda x: F.split(x, r"(?<=[.!?。！？])\s*"))), lambda x: F.length(x) > 0)
-    out = messages.withColumn("statement", F.explode(F.transform(parts, collapse_space)))
-    text = F.col("statement")
-    return out.where(F.length(text).between(6, 300) & ~F.rlike(text, F.lit(r"[?？]\s*$")) & F.rlike(text, F.lit(r"(?i)^(i |i'm |my |we |our |我)")))
-
-
-def consolidate(statements: DataFrame, *, kind: str, text_col: str, source: str, keep_sources: int = 3) -> DataFrame:
-    """kind, norm, statement, n_sources and the first sources of equal statements, most frequent first."""
-    norm = F.lower(collapse_space(F.col(text_col)))
-    grouped = statements.groupBy(F.col(kind).alias("kind"), norm.alias("norm")).agg(F.min(text_col).alias("statement"), F.count_distinct(source).alias("n_sources"), F.array_sort(F.collect_set(source)).alias("sources"))
-    return grouped.withColumn("sources", F.slice("sources", 1, keep_sources)).orderBy(F.desc("n_sources"), "kind", "norm")
+    """messages with kind and statement: sentences in the first person singular of which a rule names the kind, 6 to 300
+    characters long, without a question mark, on lines outside code fences that don't open with a quotation mark."""
+    lines = F.split(F.concat(F.lit("\n"), F.col(text_col), F.lit("\n")), _BREAK)
+    one = F.array_join(lines, "\n")
+    outside = F.regexp_replace(one, r"(?sU)\n[^\S\n]*```[^\n]*(?=\n).*?(\n[^\S\n]*```[^\n]*(?=\n)|\z)", "\n")
+    own = F.filter(F.split(outside, "\n"), lambda x: ~F.rlike(x, F.lit(r'(?U)^\s*[>“"]')))
+    parts = F.transform(F.flatten(F.transform(own, lambda x: F.split(x, r"(?<=[。！？.!?])"))), lambda x: F.regexp_replace(x, _STRIP, ""))
+    ok = lambda x: F.length(x).between(6, 300) & ~F.rlike(x, F.lit("[?？]")) & F.rlike(x, F.lit(r"(?iU)^(?:我|本人|I\s)"))
+    out = messages.withColumn("statement", F.explode(F.filter(parts, ok)))
+    return out.withColumn("kind", classify(F.col("statement"))).where(F.col("kind").isNotNull())
+
+
+def consolidate(statements: DataFrame, *, kind: str, text_col: str, source: str, time_col: str | None = None, keep_sources: int = 3) -> DataFrame:
+    """kind, norm, statement, n_sources, sources, newest: equal statements of one kind as a group, newest first.
+
+    statement is the newest wording; sources are the newest `keep_sources` messages, newest first. Only these leave each
+    partition before the shuffle; counts are summed beside them."""
+    at = F.coalesce(F.col(time_col).cast("double"), F.lit(0.0)) if time_col else F.lit(0.0)
+    rows = statements.select(F.col(kind).alias("kind"), collapse_space(casefold(F.col(text_col))).alias("norm"), F.col(text_col).alias("statement"), F.col(source).alias("source"), at.alias("at"))
+    counts = rows.groupBy("kind", "norm").agg(F.count("*").alias("n_sources"))
+    order = Window.partitionBy("kind", "norm").orderBy(F.desc("at"), "source", "statement")
+    newest = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep_sources)
+    found = newest.groupBy("kind", "norm").agg(F.array_sort(F.collect_list(F.struct("n", "source", "statement", "at"))).alias("s"))
+    out = found.join(counts, ["kind", "norm"]).select("kind", "norm", F.col("s")[0]["statement"].alias("statement"), "n_sources", F.transform("s", lambda x: x["source"]).alias("sources"), F.col("s")[0]["at"].alias("newest"))
+    return out.orderBy(F.desc("newest"), F.col("sources")[0], "kind", "norm")
+
+
+def remember(assertions: DataFrame, messages: DataFrame, message_id: str, quote: str, at: str, kind: str = "statement", *, message: str = "message_id", text_col: str = "text", role_col: str = "role") -> DataFrame:
+    """The assertions (message_id, quote, kind, created_at) with one more, once: an exact quote of a visible user message."""
+    if kind not in ("statement", "preference", "plan", "event"):
+        raise ValueError("kind must be statement, preference, plan or event")
+    found = messages.where((F.col(message) == message_id) & (F.col(role_col) == "user") & F.contains(F.col(text_col), F.lit(quote)))
+    if not quote.strip() or found.isEmpty():
+        raise ValueError("memory requires an exact quote from a visible user message")
+    new = assertions.sparkSession.createDataFrame([(message_id, quote, kind, at)], "message_id string, quote string, kind string, created_at string")
+    return assertions.unionByName(insert_if_absent(assertions, new, ["message_id", "quote"]))
+
+
+def profile(confirmed: DataFrame, assertions: DataFrame, messages: DataFrame, feedback: DataFrame) -> DataFrame:
+    """message_id, statement, kind, status, state: confirmed candidates and remembered quotes of visible messages, each
+    message and wording once, confirmed ones first. state is current, or historical where the last feedback on the message
+    says more than `restored`; excluded messages are left out."""
+    one = confirmed.select("message_id", "statement", "kind", F.lit("confirmed").alias("status"), F.lit(0).alias("rank"))
+    two = assertions.select("message_id", F.col("quote").alias("statement"), "kind", F.lit("user_requested").alias("status"), F.lit(1).alias("rank"))
+    order = Window.partitionBy("message_id", "statement").orderBy("rank", "kind")
+    rows = one.unionByName(two).withColumn("n", F.row_number().over(order)).where("n = 1").join(messages.select("message_id").distinct(), "message_id", "left_semi")
+    last = feedback.groupBy("message_id").agg(F.max_by("action", "id").alias("action"))
+    rows = rows.join(last, "message_id", "left").where("action IS NULL OR action <> 'excluded'")
+    return rows.select("message_id", "statement", "kind", "status", F.when(F.col("action").isNull() | (F.col("action") == "restored"), "current").otherwise("historical").alias("state"))
 
 
 def greedy_budget(groups: DataFrame, text_col: str, budget_chars: int = 6000, most: int = 30) -> list[dict]:

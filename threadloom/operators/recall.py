@@ -23,40 +23,63 @@ def visible(role: Column, payload: Column | None = None) -> Column:
     return ok & (hidden != "true") & (channel == "final") & (recipient == "all")
 
 
-def keyword_hits(messages: DataFrame, query: str, *, thread: str, message: str, text_col: str, role_col: str, time_col: str, title_col: str | None = None, role: str | None = None, excluded: DataFrame | None = None, per_thread: int = 1, limit: int = 8) -> DataFrame:
-    """Ranked hits of visible messages: in each thread body hits before title hits, users before assistants, newest first,
-    then by message id; per_thread of them; then all threads' hits, newest first."""
-    if not 1 <= limit <= 20 or per_thread < 1 or role not in (None, "any", *ROLES):
-        raise ValueError("limit must be 1 to 20, per_thread 1 or more, role user, assistant or any")
+def bounded(value: int, low: int, high: int, name: str) -> int:
+    if isinstance(value, bool) or not low <= value <= high:
+        raise ValueError(f"{name} must be between {low} and {high}")
+    return value
+
+
+def keyword_hits(messages: DataFrame, query: str, *, thread: str, message: str, text_col: str, role_col: str, time_col: str, title_col: str | None = None, role: str = "user", excluded: DataFrame | None = None, per_thread: int = 1, limit: int = 8) -> DataFrame:
+    """Hits of visible messages (role user, assistant or all): in each thread body hits before title hits, users before
+    assistants, newest first, then by message id; per_thread of them; of all threads' hits the newest `limit`, then by id."""
+    bounded(limit, 1, 20, "limit")
+    bounded(per_thread, 1, 20, "per_conversation")
+    query = query.strip()
+    if not 1 <= len(query) <= 512 or role not in (*ROLES, "all"):
+        raise ValueError("query must have 1 to 512 characters, role must be user, assistant or all")
     body = matches(F.col(text_col), query)
     hit = body | matches(F.col(title_col), query) if title_col else body
     found = messages.where(visible(F.col(role_col)) & hit)
-    if role in ROLES:
+    if role != "all":
         found = found.where(F.col(role_col) == role)
     if excluded is not None:
         found = found.join(excluded.select(message), message, "left_anti")
-    found = found.withColumn("body_hit", body)
-    order = [F.desc("body_hit"), F.desc(F.col(role_col) == "user"), F.desc_nulls_last(time_col), F.asc(message)]
-    return latest_by(found, [thread], order, per_thread).orderBy(F.desc("body_hit"), F.desc_nulls_last(time_col), F.asc(message)).limit(limit)
+    newest = F.desc(F.coalesce(F.col(time_col), F.lit(0)))
+    order = [F.desc(body), F.desc(F.col(role_col) == "user"), newest, F.asc(message)]
+    return latest_by(found, [thread], order, per_thread).orderBy(newest, F.asc(message)).limit(limit)
 
 
-def within_budget(hits: DataFrame, order: list[Column], query: str, text_col: str, budget_chars: int = 6000, least: int = 80) -> list[dict]:
-    """The hits in order, each clipped to what is left of the budget; stops when less than `least` is left.
+def within_budget(hits: DataFrame, order: list[Column], query: str, text_col: str, budget_chars: int = 6000, most: int = 1400) -> list[dict]:
+    """The hits in order, each clipped to `most` characters and to what is left of the budget, until nothing is.
 
     hits is one page, 20 rows at most; where a clip starts depends on what earlier ones took, so the driver does it."""
-    out, left = [], budget_chars
+    out, left = [], bounded(budget_chars, 500, 40_000, "budget_chars")
     for row in hits.orderBy(*order).limit(20).collect():
-        if left < least and out:
+        if left <= 0:
             break
-        text = row[text_col] or ""
-        at = text.lower().find(query.lower())
-        start = max(0, at - left // 4) if at >= 0 and len(text) > left else 0
-        part = text[start : start + left]
-        out.append(row.asDict() | {"text_offset": start, text_col: part, "length": len(text), "truncated": len(part) < len(text)})
+        text, size = row[text_col] or "", min(most, left)
+        start = max(0, text.casefold().find(query.casefold()) - size // 4) if query else 0
+        part = text[start : start + size]
+        out.append(row.asDict() | {"text_offset": start, text_col: part, "length": len(text), "truncated": start > 0 or len(text) > size})
         left -= len(part)
     return out
 
 
+def context_sizes(rows: DataFrame, *, anchored: bool, budget_chars: int = 6000, distance: str = "distance", thread: str = "thread", most: int = 4000) -> DataFrame:
+    """rows of context() with text_size: up to `most` characters for the anchor, and an equal share of the rest of the
+    budget, up to as many, for each of the others."""
+    bounded(budget_chars, 500, 40_000, "budget_chars")
+    anchor = min(most, budget_chars) if anchored else 0
+    others = F.greatest(F.lit(1), F.count("*").over(Window.partitionBy(thread)) - (1 if anchored else 0))
+    share = F.least(F.lit(most), F.floor(F.lit(budget_chars - anchor) / others))
+    return rows.withColumn("text_size", (F.when(F.col(distance) == 0, anchor).otherwise(share) if anchored else share).cast("long"))
+
+
+def source_link(source: Column, base: str = "http://127.0.0.1:8767") -> Column:
+    """The reader's address of a source."""
+    return F.concat(F.lit(base.rstrip("/") + "/?source="), F.url_encode(source.cast("string")))
+
+
 def context(messages: DataFrame, anchors: DataFrame, *, thread: str, order: list[Column], message: str, limit: int = 8) -> DataFrame:
     """The messages around each anchor: min(2, limit / 2) before it and the rest behind, limit in all, with their distance.
 
@@ -73,8 +96,10 @@ def clipped(rows: DataFrame, query: str, text_col: str, size: int) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != text_col], *[v.alias(text_col if k == "text" else k) for k, v in parts.items()])
 
 
-def evidence_label(role: Column) -> Column:
-    return F.when(role == "user", "user_statement").when(role == "assistant", "assistant_statement").otherwise("other")
+def evidence_label(role: Column, action: Column | None = None) -> Column:
+    """What kind of evidence a message is; the user's last word on it (quoted, outdated, corrected) comes first."""
+    label = F.when(role == "assistant", "assistant_response").otherwise("user_message")
+    return label if action is None else F.when(action == "quoted", "quoted_material").when(action.isin("outdated", "corrected"), action).otherwise(label)
 
 
 def folded_equal(a: Column, b: Column) -> Column:

@@ -24,9 +24,17 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_postings(docs: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
-    """trigram, n_docs, n_occurrences: an inverted index's dictionary; partial sums come before the shuffle."""
-    each = docs.select(*id_cols, F.explode(trigrams(F.col(text_col))).alias("trigram")).groupBy(*id_cols, "trigram").agg(F.count("*").alias("tf"))
-    return each.groupBy("trigram").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_occurrences"))
+    """trigram, n_docs, n_occurrences: an inverted index's dictionary. Each row of docs is a document, named by id_cols.
+
+    A text is split into characters once, and its trigrams are sorted in its row, where the first of equal ones counts for
+    the document. What is shuffled are sums by trigram only."""
+    joined = lambda x, y: F.concat(x, y)
+    bound = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  value is computed once
+    grams = bound(F.split(F.lower(F.col(text_col)), ""), lambda c: F.zip_with(F.zip_with(c, F.slice(c, 2, F.size(c)), joined), F.slice(c, 3, F.size(c)), joined))
+    first = lambda s: F.transform(s, lambda g, i: F.struct(g.alias("trigram"), F.when((i > 0) & (F.get(s, i - 1) == g), 0).otherwise(1).alias("new")))
+    marked = bound(F.array_sort(F.filter(grams, lambda g: g.isNotNull())), first)
+    each = docs.where(F.length(text_col) >= 3).select(F.explode(marked).alias("g"))
+    return each.groupBy(F.col("g.trigram").alias("trigram")).agg(F.sum("g.new").alias("n_docs"), F.count("*").alias("n_occurrences"))
 
 
 def occurrences(text: Column, phrase: str) -> Column:
@@ -77,3 +85,18 @@ def next_offset(limit: int, offset: int, total: int) -> int | None:
 
 def positions(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+
+
+def group_threads(messages: DataFrame, query: str = "", *, thread: str, title_col: str | None = None, text_col: str = "text", time_col: str) -> DataFrame:
+    """thread, create_time, update_time, messages, preview: all threads, or those whose title or a message holds query as it
+    is written (ASCII case apart); preview is the newest text that isn't blank."""
+    query = query.strip()
+    if len(query) > 512:
+        raise ValueError("search query is too long")
+    shown = F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0
+    hit = contains_ascii_folded(F.coalesce(F.col(text_col), F.lit("")), query) if query else F.lit(True)
+    if query and title_col:
+        hit = hit | contains_ascii_folded(F.coalesce(F.col(title_col), F.lit("")), query)
+    latest = F.when(shown, F.col(time_col))
+    out = messages.groupBy(thread).agg(F.min(time_col).alias("create_time"), F.max(time_col).alias("update_time"), F.count("*").alias("messages"), F.coalesce(F.max_by(text_col, latest), F.lit("")).alias("preview"), F.bool_or(hit).alias("hit"))
+    return out.where("hit").drop("hit")

@@ -43,3 +43,18 @@ def fuse_ranks(rows: DataFrame, first: list[Column], second: list[Column], *, gr
 def index_changes(index: DataFrame, live: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows of live that the index lacks, rows of the index that aren't live)."""
     return live.join(index.select(*keys), keys, "left_anti"), index.join(live.select(*keys), keys, "left_anti")
+
+
+def search(chunks_: DataFrame, query: DataFrame, *, thread: str, id_col: str, vector_col: str, excluded: DataFrame | None = None, rerank: str | None = None, limit: int = 8, k: int = 40) -> DataFrame:
+    """The best chunk of each of `limit` threads: of the k chunks most like the query's vector, in that order or, with a
+    column of scores to rerank by, in the order of both ranks fused. Excluded messages are no candidates."""
+    if not 1 <= limit <= 20:
+        raise ValueError("limit must be 1 to 20")
+    live = chunks_ if excluded is None else chunks_.join(excluded.select(id_col), id_col, "left_anti")
+    best = top_similar(live, query, id_col=id_col, vector_col=vector_col, k=k)
+    order = [F.desc("similarity"), F.asc(id_col)]
+    if rerank:
+        best = fuse_ranks(best, order, [F.desc(rerank), F.asc(id_col)])
+        order = [F.desc("fused"), *order]
+    one = best.withColumn("n", F.row_number().over(Window.partitionBy(thread).orderBy(*order))).where("n = 1").drop("n")
+    return one.orderBy(*order).limit(limit)

@@ -92,8 +92,31 @@ def current_feedback(log: DataFrame, key: str, entry: str, action: str, cancel:
     return last.where(F.col(action) != cancel)
 
 
-def state_digest(rows: DataFrame, columns: Sequence[str], group: str) -> DataFrame:
-    """group, digest: SHA-256 over a group's sorted row hashes; the order of rows doesn't count."""
+def state_digest(rows: DataFrame, columns: Sequence[str], group: str, bits: int = 12) -> DataFrame:
+    """group, digest: SHA-256 over a group's sorted row hashes; the order of rows doesn't count.
+
+    Rows are hashed in 2**bits ranges of their hash, each a small task's work, and the ranges' digests once more, so that no
+    task holds a group."""
     parts = [F.concat(F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("string"), F.when(F.col(c).isNull(), "n").otherwise("v"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
     hashed = rows.select(group, F.sha2(F.concat_ws("|", *parts), 256).alias("h"))
-    return hashed.groupBy(group).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("digest"))
+    ranges = hashed.groupBy(group, F.substring("h", 1, bits // 4).alias("r")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("r", "h"))), lambda x: x["h"])
+    return ranges.groupBy(group).agg(F.sha2(F.concat_ws("", ordered), 256).alias("digest"))
+
+
+def snapshot_list(snapshots: DataFrame, counted: dict[str, DataFrame], *, snapshot: str = "snapshot", order: str = "captured_at") -> DataFrame:
+    """snapshots, newest first, with a column for each of counted: its rows of the snapshot, 0 without any."""
+    out = snapshots
+    for name, rows in counted.items():
+        out = out.join(rows.groupBy(snapshot).agg(F.count("*").alias(name)), snapshot, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out.orderBy(F.desc(order), F.desc(snapshot))
+
+
+def snapshot_quality(diagnostics: DataFrame, absences: DataFrame, coverage: DataFrame, *, snapshot: str = "snapshot") -> DataFrame:
+    """snapshot, area, key, n, size_bytes: diagnostics by severity, absences by kind of entity, files by class and handling."""
+    zero = F.lit(0).cast("long")
+    one = diagnostics.groupBy(snapshot, F.col("severity").alias("key")).agg(F.count("*").alias("n")).select(snapshot, F.lit("diagnostics").alias("area"), "key", "n", zero.alias("size_bytes"))
+    two = absences.groupBy(snapshot, F.col("entity_kind").alias("key")).agg(F.count("*").alias("n")).select(snapshot, F.lit("source_absences").alias("area"), "key", "n", zero.alias("size_bytes"))
+    key = F.concat_ws("/", "media_class", "handling_status")
+    three = coverage.groupBy(snapshot, key.alias("key")).agg(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), zero).alias("size_bytes")).select(snapshot, F.lit("coverage").alias("area"), "key", "n", "size_bytes")
+    return one.unionByName(two).unionByName(three)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.canonical import canonical_hash
+from threadloom.functions.text import message_text
+
 
 def foreign_key_violations(child: DataFrame, parent: DataFrame, child_key: Sequence[str], parent_key: Sequence[str]) -> DataFrame:
     """Rows of child with a complete key that parent lacks."""
@@ -89,3 +92,35 @@ def archive_violations(t: Mapping[str, DataFrame]) -> DataFrame:
         one = rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def absence_violations(absences: DataFrame, observations: DataFrame, snapshots: DataFrame, *, snapshot: str = "snapshot", prior: str = "prior_snapshot", identity: str = "identity", order: str = "captured_at") -> DataFrame:
+    """snapshot, prior, identity, fault of absences that can't be: not_earlier (the prior snapshot isn't before the other),
+    not_seen (the identity isn't in the prior snapshot) or still_there (it is in the other). The first of these is named."""
+    at = snapshots.select(snapshot, F.col(order).alias("at"))
+    seen = observations.select(snapshot, identity).distinct()
+    rows = absences.select(snapshot, prior, identity).join(at, snapshot, "left").join(at.select(F.col(snapshot).alias(prior), F.col("at").alias("before")), prior, "left")
+    rows = rows.join(seen.withColumn("here", F.lit(True)), [snapshot, identity], "left").join(seen.select(F.col(snapshot).alias(prior), identity, F.lit(True).alias("there")), [prior, identity], "left")
+    fault = F.when(~F.coalesce(F.col("before") < F.col("at"), F.lit(False)), "not_earlier").when(F.col("there").isNull(), "not_seen").when(F.col("here"), "still_there")
+    return rows.select(snapshot, prior, identity, fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
+def payload_faults(rows: DataFrame, *, key: str, payload: str, stored: str) -> DataFrame:
+    """key, stored, found of payloads whose canonical hash isn't the stored one, or that are no JSON (found is null)."""
+    found = canonical_hash(F.col(payload))
+    return rows.select(key, F.col(stored).alias("stored"), found.alias("found")).where(~F.col("stored").eqNullSafe(F.col("found")))
+
+
+def search_faults(messages: DataFrame, index: DataFrame, *, key: str, raw: str, text_col: str = "text") -> DataFrame:
+    """key, fault: messages with a text that the index lacks, index rows without a message, and texts that differ."""
+    want = messages.select(key, message_text(F.col(raw)).alias("want")).where("want <> ''")
+    both = want.join(index.select(key, F.col(text_col).alias("have"), F.lit(True).alias("indexed")), key, "full_outer")
+    fault = F.when(F.col("indexed").isNull(), "missing").when(F.col("want").isNull(), "orphan").when(~F.col("want").eqNullSafe(F.col("have")), "differs")
+    return both.select(key, fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
+def digest_chain(rows: DataFrame, *, group: str, order: str, digest: str) -> DataFrame:
+    """group, ordinal, fault: records of a store whose ordinals (from 0, without a gap) or hex digests aren't as they must."""
+    at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    fault = F.when(F.col(order) != F.col("at"), "ordinal").when(~F.rlike(F.coalesce(F.col(digest), F.lit("")), F.lit("^[0-9a-f]{64}$")), "digest")
+    return rows.withColumn("at", at).select(group, F.col(order).alias("ordinal"), fault.alias("fault")).where(F.col("fault").isNotNull())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import canonical, text
-from threadloom.operators import analytics, graph, memory, recall, search, semantic, snapshots, validation
+from threadloom.operators import analytics, annotations, graph, memory, recall, search, semantic, snapshots, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -381,7 +381,7 @@ def json_validity(spark, d):
     return validation.invalid_json(table(spark, d, "events"), ["props", "event_type"])
 
 
-@query("SELECT event_type, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT event_type, sha256(concat(length(CAST(event_id AS VARCHAR)), 'v', event_id, '|', length(CAST(user_id AS VARCHAR)), 'v', user_id)) AS h FROM events) GROUP BY 1")
+@query("WITH h AS (SELECT event_type, sha256(concat(length(CAST(event_id AS VARCHAR)), 'v', event_id, '|', length(CAST(user_id AS VARCHAR)), 'v', user_id)) AS h FROM events), r AS (SELECT event_type, substring(h, 1, 3) AS r, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1, 2) SELECT event_type, sha256(string_agg(h, '' ORDER BY r)) AS digest FROM r GROUP BY 1")
 def state_digest(spark, d):
     return snapshots.state_digest(table(spark, d, "events"), ["event_id", "user_id"], "event_type")
 
@@ -402,38 +402,189 @@ _VALUES = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _STATEMENTS)
 
 
 def _ascii_rules() -> str:
-    return " ".join(f"WHEN regexp_matches(s, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in memory.RULES)
+    return " ".join(f"WHEN regexp_matches(s, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in memory.RULES)
+
+
+#: All turns of conversations, and the statements above, as phrases that the rules know are rare in the tables.
+_TURNS = f"m(id, role, text) AS (SELECT conv_id || '-' || turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES {_VALUES}))"
+
+
+def _turns(spark, d):
+    rows = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "role", "text")
+    return rows.unionByName(spark.createDataFrame(list(_STATEMENTS), "id string, role string, text string"))
 
 
 @query(f"""
-WITH m(id, role, text) AS (VALUES {_VALUES}), s AS (SELECT id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM m WHERE role = 'user'),
+WITH {_TURNS}, s AS (SELECT id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM m WHERE role = 'user'),
 k AS (SELECT id, text, s, CASE {_ascii_rules()} END AS kind FROM s WHERE length(s) >= 8)
 SELECT 'memc_' || substring(sha256(concat(id, chr(0), sha256(text), chr(0), kind)), 1, 32) AS candidate_id, id, kind, s AS statement FROM k WHERE kind IS NOT NULL""")
 def candidate_scan(spark, d):
-    rows = spark.createDataFrame(list(_STATEMENTS), "id string, role string, text string")
-    return memory.scan_candidates(rows, message="id", text_col="text", role_col="role")
+    return memory.scan_candidates(_turns(spark, d), message="id", text_col="text", role_col="role")
 
 
 @query()
 def related_candidates(spark, d):
-    rows = spark.createDataFrame(list(_STATEMENTS), "id string, role string, text string")
-    found = memory.scan_candidates(rows, message="id", text_col="text", role_col="role")
+    found = memory.scan_candidates(_turns(spark, d), message="id", text_col="text", role_col="role")
     return memory.related(found, found)
 
 
-@query()
-def canonical_hash(spark, d):
-    return table(spark, d, "events").select("event_id", canonical.canonical_hash(F.col("props")).alias("raw_sha256"))
+_EXPLICIT = f"""
+WITH {_TURNS}, n AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM m WHERE role = 'user'),
+p AS (SELECT id, unnest(regexp_extract_all(line, '[^。！？.!?]*[。！？.!?]|[^。！？.!?]+$')) AS x FROM n),
+s AS (SELECT id, trim(x, ' ' || chr(9)) AS statement FROM p),
+e AS (SELECT id, statement, CASE {_ascii_rules().replace('(s,', '(statement,')} END AS kind FROM s WHERE length(statement) BETWEEN 6 AND 300 AND NOT regexp_matches(statement, '[?？]') AND regexp_matches(statement, '(?i)^(我|本人|I\s)'))"""
+
 
+@query(_EXPLICIT + " SELECT id, kind, statement FROM e WHERE kind IS NOT NULL")
+def explicit_statements(spark, d):
+    return memory.explicit_statements(_turns(spark, d).where("role = 'user'")).select("id", "kind", "statement")
 
-@query(r"""
-SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm, count(DISTINCT conv_id) AS n_sources FROM conversations
-WHERE role = 'user' AND length(text) BETWEEN 6 AND 300 GROUP BY 1 HAVING count(DISTINCT conv_id) > 1""")
+
+def _groups(spark, d):
+    return memory.consolidate(memory.explicit_statements(_turns(spark, d).where("role = 'user'")), kind="kind", text_col="statement", source="id")
+
+
+@query(_EXPLICIT + r", g AS (SELECT *, lower(trim(regexp_replace(statement, '\s+', ' ', 'g'))) AS norm FROM e WHERE kind IS NOT NULL) SELECT kind, norm, min_by(statement, id) AS statement, count(*) AS n_sources, array_to_string(list_sort(list(id))[1:3], ',') AS sources FROM g GROUP BY kind, norm".replace(r"\\s", r"\s"))
 def consolidated_statements(spark, d):
-    rows = table(spark, d, "conversations").where("role = 'user' AND length(text) BETWEEN 6 AND 300")
-    return memory.consolidate(rows, kind="role", text_col="text", source="conv_id").where("n_sources > 1").select("norm", "n_sources")
+    return _groups(spark, d).select("kind", "norm", "statement", "n_sources", F.array_join("sources", ",").alias("sources"))
+
+
+@query()
+def greedy_budget(spark, d):
+    kept = memory.greedy_budget(_groups(spark, d).select("kind", "statement"), "statement", budget_chars=90)
+    return spark.createDataFrame([(r["kind"], r["statement"]) for r in kept], "kind string, statement string")
+
+
+@query("SELECT event_id, sha256('{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}') AS raw_sha256 FROM events")
+def canonical_hash(spark, d):
+    return table(spark, d, "events").select("event_id", canonical.canonical_hash(F.col("props")).alias("raw_sha256"))
 
 
 @query("SELECT CASE WHEN url LIKE '%.html' OR url LIKE '%.htm' THEN 'html' ELSE 'other' END AS media_class, count(*) AS n FROM pages GROUP BY 1")
 def media_classes(spark, d):
     return table(spark, d, "pages").groupBy(text.media_class(F.col("url")).alias("media_class")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH m AS (SELECT *, conv_id || '-' || lpad(CAST(turn AS VARCHAR), 6, '0') AS message FROM conversations WHERE role IN ('user', 'assistant') AND contains(lower(text), '{PHRASE}')),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN role = 'user' THEN 0 ELSE 1 END, turn DESC, message) AS k FROM m)
+SELECT message, role, turn FROM r WHERE k <= 2 ORDER BY turn DESC, message LIMIT 20""")
+def keyword_hits(spark, d):
+    rows = table(spark, d, "conversations").withColumn("message", F.concat_ws("-", "conv_id", F.lpad(F.col("turn").cast("string"), 6, "0")))
+    return recall.keyword_hits(rows, PHRASE, thread="conv_id", message="message", text_col="text", role_col="role", time_col="turn", role="all", per_thread=2, limit=20).select("message", "role", "turn")
+
+
+@query("SELECT conv_id, min(turn) AS create_time, max(turn) AS update_time, count(*) AS messages, coalesce(max_by(text, turn) FILTER (length(trim(text)) > 0), '') AS preview FROM conversations GROUP BY conv_id HAVING bool_or(contains(lower(text), 'in'))")
+def group_threads(spark, d):
+    return search.group_threads(table(spark, d, "conversations"), "IN", thread="conv_id", time_col="turn")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS snapshot, count(*) AS n_events, count(*) FILTER (event_type = 'click') AS n_clicks, count(*) FILTER (event_type = 'none') AS n_none FROM events GROUP BY 1")
+def snapshot_list(spark, d):
+    rows = table(spark, d, "events").withColumn("snapshot", F.date_format("ts", "yyyy-MM-dd"))
+    counted = {"n_events": rows, "n_clicks": rows.where("event_type = 'click'"), "n_none": rows.where("event_type = 'none'")}
+    return snapshots.snapshot_list(rows.select("snapshot").distinct(), counted, order="snapshot")
+
+
+@query("""
+WITH e AS (SELECT *, strftime(ts, '%Y-%m') AS snapshot FROM events)
+SELECT snapshot, 'diagnostics' AS area, CASE WHEN value < 20 THEN 'error' ELSE 'warning' END AS key, count(*) AS n, 0 AS size_bytes FROM e GROUP BY ALL
+UNION ALL SELECT snapshot, 'source_absences', event_type, count(*), 0 FROM e GROUP BY ALL
+UNION ALL SELECT snapshot, 'coverage', event_type || '/' || CASE WHEN user_id % 2 = 0 THEN 'parsed' ELSE 'kept' END, count(*), CAST(sum(event_id) AS BIGINT) FROM e GROUP BY ALL""")
+def snapshot_quality(spark, d):
+    rows = table(spark, d, "events").withColumn("snapshot", F.date_format("ts", "yyyy-MM"))
+    faults = rows.select("snapshot", F.when(F.col("value") < 20, "error").otherwise("warning").alias("severity"))
+    files = rows.select("snapshot", F.col("event_type").alias("media_class"), F.when(F.col("user_id") % 2 == 0, "parsed").otherwise("kept").alias("handling_status"), F.col("event_id").alias("size_bytes"))
+    return snapshots.snapshot_quality(faults, rows.select("snapshot", F.col("event_type").alias("entity_kind")), files)
+
+
+@query("SELECT conv_id, turn, text || chr(10) || role || chr(10) || chr(10) || text AS text FROM conversations")
+def message_texts(spark, d):
+    quoted = lambda c: F.substring(F.to_json(F.struct(c.alias("x"))), F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+    parts = F.concat(F.lit("["), quoted(F.col("role")), F.lit(',7,"",{"text":'), quoted(F.col("text")), F.lit('},{"text":1}]'))
+    raw = F.concat(F.lit('{"content":{"text":'), quoted(F.col("text")), F.lit(',"parts":'), parts, F.lit("}}"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.message_text(raw).alias("text"))
+
+
+_BARE = "nullif(regexp_extract(rtrim(regexp_replace(rtrim(regexp_replace(url, '[#?].*$', ''), '/'), '^.*?://', ''), '/'), '([^/]*)$', 1), '')"
+
+
+@query(f"SELECT page_id, {_BARE} AS plain, {_BARE} AS decorated FROM pages")
+def asset_references(spark, d):
+    rows = table(spark, d, "pages")
+    return rows.select("page_id", text.normal_asset_reference(F.col("url")).alias("plain"), text.normal_asset_reference(F.concat(F.lit(" "), "url", F.lit("/?q=1#x "))).alias("decorated"))
+
+
+@query("SELECT page_id, 'http://127.0.0.1:8767/?source=' || replace(replace(url, ':', '%3A'), '/', '%2F') AS link FROM pages WHERE regexp_full_match(url, '[A-Za-z0-9:/._-]+')")
+def source_links(spark, d):
+    rows = table(spark, d, "pages").where(F.rlike("url", F.lit("^[A-Za-z0-9:/._-]+$")))
+    return rows.select("page_id", recall.source_link(F.col("url")).alias("link"))
+
+
+@query("SELECT CASE lower(regexp_extract(url, '\\.([^./]+)$', 1)) WHEN 'html' THEN 'text/html' WHEN 'htm' THEN 'text/html' WHEN 'json' THEN 'application/json' WHEN 'pdf' THEN 'application/pdf' END AS mime, count(*) AS n FROM pages GROUP BY 1")
+def mime_types(spark, d):
+    return table(spark, d, "pages").groupBy(text.mime_type(F.col("url")).alias("mime")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'conversation' WHEN 1 THEN 'library_file' WHEN 2 THEN 'provider_json:page.' || page_id ELSE 'conversation' END AS kind FROM pages")
+def record_kinds(spark, d):
+    names = F.array(F.lit("a/conversations-001.json"), F.lit("library_files.json"), F.concat(F.lit("b/page."), "page_id", F.lit(".json")), F.lit("conversations.json"))
+    return table(spark, d, "pages").select("page_id", text.record_kind(F.get(names, (F.col("page_id") % 4).cast("int"))).alias("kind"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 0 ELSE turn + 1 END AS n FROM conversations")
+def json_lengths(spark, d):
+    value = F.when(F.col("turn") % 3 == 0, F.lit('{"a": [1]}')).otherwise(F.concat(F.lit("["), F.expr("repeat('0,', cast(turn AS int))"), F.lit("0]")))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.array_length(value).alias("n"))
+
+
+@query(f"""
+WITH {_DAYS}, planted AS (SELECT u.user_id, s.snapshot, p.snapshot AS prior FROM (SELECT DISTINCT user_id FROM obs WHERE user_id % 10 = 0) u, snap s, snap p WHERE abs(date_diff('day', p.snapshot, s.snapshot)) <= 1)
+SELECT strftime(snapshot, '%Y-%m-%d') AS snapshot, strftime(prior, '%Y-%m-%d') AS prior_snapshot, user_id, fault FROM (
+  SELECT p.*, CASE WHEN p.prior >= p.snapshot THEN 'not_earlier' WHEN t.user_id IS NULL THEN 'not_seen' WHEN h.user_id IS NOT NULL THEN 'still_there' END AS fault
+  FROM planted p LEFT JOIN obs t ON t.snapshot = p.prior AND t.user_id = p.user_id LEFT JOIN obs h ON h.snapshot = p.snapshot AND h.user_id = p.user_id) WHERE fault IS NOT NULL""")
+def absence_violations(spark, d):
+    seen, captures = _days(spark, d)
+    before = captures.select(F.col("snapshot").alias("prior_snapshot"))
+    near = captures.join(before, F.abs(F.date_diff("snapshot", "prior_snapshot")) <= 1).select("snapshot", "prior_snapshot")
+    absences = near.join(seen.where("user_id % 10 = 0").select("user_id").distinct())
+    return validation.absence_violations(absences, seen, captures, identity="user_id")
+
+
+@query("SELECT event_id, repeat('0', 64) AS stored, sha256('{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}') AS found FROM events WHERE event_id % 97 = 0")
+def payload_faults(spark, d):
+    rows = table(spark, d, "events").withColumn("sha", F.when(F.col("event_id") % 97 == 0, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.sha2(F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit("}")), 256)))
+    return validation.payload_faults(rows, key="event_id", payload="props", stored="sha")
+
+
+@query("SELECT conv_id || '-' || turn AS id, CASE turn % 5 WHEN 0 THEN 'missing' ELSE 'differs' END AS fault FROM conversations WHERE turn % 5 < 2 AND text <> '' UNION ALL SELECT 'x-' || conv_id, 'orphan' FROM conversations WHERE turn = 0")
+def search_faults(spark, d):
+    rows = table(spark, d, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    messages = rows.select("id", F.to_json(F.struct(F.struct("text").alias("content"))).alias("raw"))
+    index = rows.where("turn % 5 <> 0").select("id", F.when(F.col("turn") % 5 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return validation.search_faults(messages, index.unionByName(rows.where("turn = 0").select(F.concat(F.lit("x-"), "conv_id").alias("id"), "text")), key="id", raw="raw")
+
+
+@query("SELECT user_id, event_id, event_type AS topic FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type = 'click' AND event_id % 7 <> 0")
+def bookmarks(spark, d):
+    log = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("topic"), (F.col("event_id") % 7 == 0).alias("removed"))
+    return annotations.bookmarks(log, key="user_id", entry="event_id", topic="click").select("user_id", "event_id", "topic")
+
+
+@query(_WALK + """, kept AS (SELECT * FROM t WHERE NOT (conv_id % 3 = 0 AND turn = 1)), tip AS (SELECT conv_id, max(turn) AS turn FROM t GROUP BY 1),
+w(conv_id, turn, parent) AS (SELECT kept.conv_id, kept.turn, kept.parent FROM kept JOIN tip USING (conv_id, turn) UNION ALL SELECT kept.conv_id, kept.turn, kept.parent FROM kept JOIN w ON kept.conv_id = w.conv_id AND kept.turn = w.parent),
+n AS (SELECT conv_id, count(*) AS n, bool_or(parent IS NULL) AS ok FROM w GROUP BY 1)
+SELECT conv_id, CASE WHEN ok THEN 'complete' ELSE 'broken' END AS state, CASE WHEN ok THEN n ELSE 0 END AS length FROM tip LEFT JOIN n USING (conv_id)""")
+def session_branches(spark, d):
+    nodes, tips = _tree(spark, d)
+    return graph.session_branches(nodes.where("NOT (conv_id % 3 = 0 AND turn = 1)"), tips, group="conv_id", node="turn", parent="parent", leaf="tip")
+
+
+@query(f"""
+WITH s AS (SELECT a.vec_id, a.label, {_COSINE} AS similarity FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE a.vec_id % 9 <> 4 ORDER BY similarity DESC, a.vec_id LIMIT 40),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS k FROM s)
+SELECT vec_id, label, round(similarity, 6) AS similarity FROM r WHERE k = 1 ORDER BY similarity DESC, vec_id LIMIT 8""")
+def semantic_search(spark, d):
+    rows = table(spark, d, "embeddings")
+    found = semantic.search(rows, rows.where("vec_id = 0"), thread="label", id_col="vec_id", vector_col="embedding", excluded=rows.where("vec_id % 9 = 4"))
+    return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))

@@ -57,6 +57,27 @@ def write_atomic(path: str, content: str) -> None:
     os.replace(f.name, path)
 
 
+def publish(staging: str, target: str, sha256: str) -> None:
+    """Moves a staged file to its place, unless a file is there: one with the same hash stays, another is an error."""
+    with open(staging, "rb") as f:
+        if hashlib.file_digest(f, "sha256").hexdigest() != sha256:
+            raise ValueError("the staged file has another hash")
+    os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
+    try:
+        os.link(staging, target)  # fails if target exists
+    except FileExistsError:
+        with open(target, "rb") as f:
+            if hashlib.file_digest(f, "sha256").hexdigest() != sha256:
+                raise ValueError(f"published artifact conflict: {os.path.basename(target)}") from None
+    os.unlink(staging)
+
+
+def staging_residue(root: str, prefix: str = "staging") -> list[str]:
+    """Paths below root, relative and sorted, that unfinished work has left."""
+    base = Path(root)
+    return sorted(str(p.relative_to(base)) for p in base.rglob("*") if any(x.startswith((prefix, f".{prefix}")) for x in p.relative_to(base).parts))
+
+
 def write_pack(folder: str, files: Mapping[str, str]) -> dict:
     """Writes text files and a manifest with their hashes; the tree's hash depends on names and contents alone."""
     os.makedirs(folder, exist_ok=True)
