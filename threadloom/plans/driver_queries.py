@@ -293,9 +293,10 @@ def semi_join_exists(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_join(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return semantic.index_changes(urgent, table(spark, d, "customer"), ["c_custkey"])[0].select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AS urgent FROM customer")
@@ -355,9 +356,10 @@ def branch_points(spark, d):
     return graph.branch_points(_tree(spark, d)[0], group="conv_id", parent="parent")
 
 
-@query(_WALK + " SELECT role, CAST(sum(n - 1) AS BIGINT) AS repeats FROM (SELECT conv_id, parent, role, count(*) AS n FROM t WHERE parent IS NOT NULL AND role IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1) GROUP BY 1")
+@query("SELECT role, CAST(sum(n - 1) AS BIGINT) AS repeats FROM (SELECT conv_id, (turn - 1) // 3 AS parent, role, count(*) AS n FROM conversations WHERE turn > 0 AND role IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1) GROUP BY 1")
 def sibling_repeats(spark, d):
-    return graph.sibling_repeats(_tree(spark, d)[0], group="conv_id", parent="parent", role="role")
+    rows = table(spark, d, "conversations").withColumn("parent", F.when(F.col("turn") > 0, F.expr("(turn - 1) div 3")))
+    return graph.sibling_repeats(rows, group="conv_id", parent="parent", role="role")
 
 
 # Integrity
@@ -432,7 +434,7 @@ _EXPLICIT = f"""
 WITH {_TURNS}, n AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM m WHERE role = 'user'),
 p AS (SELECT id, unnest(regexp_extract_all(line, '[^。！？.!?]*[。！？.!?]|[^。！？.!?]+$')) AS x FROM n),
 s AS (SELECT id, trim(x, ' ' || chr(9)) AS statement FROM p),
-e AS (SELECT id, statement, CASE {_ascii_rules().replace('(s,', '(statement,')} END AS kind FROM s WHERE length(statement) BETWEEN 6 AND 300 AND NOT regexp_matches(statement, '[?？]') AND regexp_matches(statement, '(?i)^(我|本人|I\s)'))"""
+e AS (SELECT id, statement, CASE {_ascii_rules().replace('(s,', '(statement,')} END AS kind FROM s WHERE length(statement) BETWEEN 6 AND 300 AND NOT regexp_matches(statement, '[?？]') AND regexp_matches(statement, '(?i)^(我|本人|I\\s)'))"""
 
 
 @query(_EXPLICIT + " SELECT id, kind, statement FROM e WHERE kind IS NOT NULL")
