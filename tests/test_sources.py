@@ -212,3 +212,35 @@ def test_digest_chain(spark):
     good = "a" * 64
     rows = spark.createDataFrame([("s", 0, good), ("s", 1, "x"), ("s", 3, good), ("t", 0, good)], "store string, ordinal int, digest string")
     assert sorted((r["store"], r["ordinal"], r["fault"]) for r in validation.digest_chain(rows, group="store", order="ordinal", digest="digest").collect()) == [("s", 1, "digest"), ("s", 3, "ordinal")]
+
+
+def test_fingerprints_don_t_depend_on_the_origin():
+    from threadloom.sources import evidence
+
+    entries = lambda origin: [{"kind": "file", "path": f"{origin}.indexeddb.leveldb/{n}", "size": 1, "sha256": "00"} for n in ("b", "a")]
+    assert evidence.payload_fingerprint(entries("x"), "x") == evidence.payload_fingerprint(entries("yy")[::-1], "yy")
+    with pytest.raises(ValueError):
+        evidence.payload_fingerprint(entries("x"), "y")
+
+
+def test_only_an_unfinished_last_line_is_left(spark, tmp_path):
+    from threadloom.sources import logs
+
+    line = '{"type":"message","id":"%s","message":{"role":"user","content":"x"}}'
+    (tmp_path / "a.jsonl").write_text(line % "a" + "\n" + line % "b" + '\n{"type":')
+    assert sorted(r["id"] for r in logs.session_entries(spark, str(tmp_path / "a.jsonl")).collect()) == ["a", "b"]
+    (tmp_path / "b.jsonl").write_text(line % "a" + '\n{"type":\n' + line % "b" + "\n")
+    with pytest.raises(ValueError):
+        logs.session_entries(spark, str(tmp_path / "b.jsonl"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import os
+
+    from threadloom.__main__ import main
+
+    assert main(["list"]) == 0 and "keyword_hits" in capsys.readouterr().out
+    folder = "/root/testdata/sf0.001"
+    if os.path.isdir(folder):
+        assert main(["run", "role_distribution", folder, "--out", str(tmp_path / "out")]) == 0
+        assert spark.read.parquet(str(tmp_path / "out")).count() > 0

@@ -199,3 +199,11 @@ def greedy_budget(groups: DataFrame, text_col: str, budget_chars: int = 6000, mo
             if len(out) == most or left <= 0:
                 break
     return out
+
+
+def source_context(candidates: DataFrame, branch: DataFrame, *, thread: str, message: str, depth: str = "depth", around: int = 2) -> DataFrame:
+    """candidate_id, the columns of branch, distance: the messages of a candidate's thread within `around` steps of its
+    source on the branch. One equal join finds the source, the other its neighbours by depth; no thread is multiplied."""
+    at = candidates.select("candidate_id", thread, message).join(branch.select(thread, message, F.col(depth).alias("at")), [thread, message])
+    near = at.select("candidate_id", thread, F.explode(F.sequence(F.col("at") - around, F.col("at") + around)).alias(depth), "at")
+    return near.join(branch.withColumn(depth, F.col(depth).cast("long")), [thread, depth]).withColumn("distance", F.col(depth) - F.col("at")).drop("at")

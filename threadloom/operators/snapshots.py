@@ -120,3 +120,18 @@ def snapshot_quality(diagnostics: DataFrame, absences: DataFrame, coverage: Data
     key = F.concat_ws("/", "media_class", "handling_status")
     three = coverage.groupBy(snapshot, key.alias("key")).agg(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), zero).alias("size_bytes")).select(snapshot, F.lit("coverage").alias("area"), "key", "n", "size_bytes")
     return one.unionByName(two).unionByName(three)
+
+
+def citation(messages: DataFrame, source_id: str, *, source: str = "source_id") -> DataFrame:
+    """snapshot_key, conversation_id, message_id of one source: a key filter that reaches the scan. Ids of sessions (pi:n)
+    are told apart by their prefix, in the column itself."""
+    if not str(source_id).strip():
+        raise ValueError("a source id is needed")
+    return messages.where(F.col(source).cast("string") == str(source_id)).select("snapshot_key", "conversation_id", "message_id")
+
+
+def digest_changes(before: DataFrame, after: DataFrame, group: str) -> DataFrame:
+    """group, state (added, removed, changed) of groups whose digests of two states differ."""
+    a, b = before.select(group, F.col("digest").alias("a")), after.select(group, F.col("digest").alias("b"))
+    state = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
+    return a.join(b, group, "full_outer").select(group, state.alias("state")).where(F.col("state").isNotNull())

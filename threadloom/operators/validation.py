@@ -124,3 +124,44 @@ def digest_chain(rows: DataFrame, *, group: str, order: str, digest: str) -> Dat
     at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
     fault = F.when(F.col(order) != F.col("at"), "ordinal").when(~F.rlike(F.coalesce(F.col(digest), F.lit("")), F.lit("^[0-9a-f]{64}$")), "digest")
     return rows.withColumn("at", at).select(group, F.col(order).alias("ordinal"), fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
+def graph_metrics(nodes: DataFrame, *, snapshot: str, parent: str) -> DataFrame:
+    """snapshot, metric, value: nodes, roots, branch_points (parents of several nodes) and alternatives (children beyond the
+    first). One pass over nodes counts children by parent; all else is sums of that."""
+    children = nodes.groupBy(snapshot, parent).agg(F.count("*").alias("n"))
+    inner = F.col(parent).isNotNull()
+    sums = children.groupBy(snapshot).agg(
+        F.sum("n").alias("nodes"),
+        F.coalesce(F.sum(F.when(~inner, F.col("n"))), F.lit(0)).alias("roots"),
+        F.count_if(inner & (F.col("n") > 1)).alias("branch_points"),
+        F.coalesce(F.sum(F.when(inner, F.col("n") - 1)), F.lit(0)).alias("alternatives"),
+    )
+    return sums.unpivot([snapshot], ["nodes", "roots", "branch_points", "alternatives"], "metric", "value")
+
+
+def store_faults(assets: DataFrame, files: DataFrame, *, prefix: str = "assets/sha256") -> DataFrame:
+    """sha256, path, fault between the assets of an archive (sha256, size) and the files of its store (path, size, sha256):
+    missing, size, content (the file's hash isn't the one it is named by) or orphan. A file lies at
+    prefix/<first two digits>/<hash>."""
+    place = F.concat_ws("/", F.lit(prefix), F.substring("sha256", 1, 2), F.col("sha256"))
+    want = assets.select("sha256", F.col("size").alias("want"), place.alias("path")).dropDuplicates(["sha256"])
+    have = files.select("path", F.col("size").alias("have"), F.col("sha256").alias("found"))
+    both = want.join(have, "path", "full_outer")
+    fault = F.when(F.col("found").isNull(), "missing").when(F.col("sha256").isNull(), "orphan").when(F.col("found") != F.col("sha256"), "content").when(F.col("want") != F.col("have"), "size")
+    return both.select(F.coalesce("sha256", "found").alias("sha256"), "path", fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
+def ndjson_closure(declared: DataFrame, lines: DataFrame, *, file: str = "file", line: str = "value") -> DataFrame:
+    """file, fault, n between files that a manifest declares (file, records) and their lines: missing, undeclared, records
+    (another number of lines), invalid (lines that are no JSON objects)."""
+    shape = F.schema_of_variant(F.try_parse_json(line))
+    found = lines.groupBy(file).agg(F.count("*").alias("found"), F.count_if(~F.coalesce(F.startswith(shape, F.lit("OBJECT")), F.lit(False))).alias("invalid"))
+    both = declared.select(file, F.col("records").alias("records")).join(found, file, "full_outer")
+    faults = F.array(
+        F.when(F.col("found").isNull() & (F.col("records") > 0), F.struct(F.lit("missing").alias("fault"), F.col("records").cast("long").alias("n"))),
+        F.when(F.col("records").isNull(), F.struct(F.lit("undeclared").alias("fault"), F.col("found").alias("n"))),
+        F.when(F.col("records") != F.col("found"), F.struct(F.lit("records").alias("fault"), F.col("found").alias("n"))),
+        F.when(F.col("invalid") > 0, F.struct(F.lit("invalid").alias("fault"), F.col("invalid").alias("n"))),
+    )
+    return both.select(file, F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("f")).select(file, "f.fault", "f.n")

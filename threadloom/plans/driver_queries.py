@@ -590,3 +590,52 @@ def semantic_search(spark, d):
     rows = table(spark, d, "embeddings")
     found = semantic.search(rows, rows.where("vec_id = 0"), thread="label", id_col="vec_id", vector_col="embedding", excluded=rows.where("vec_id % 9 = 4"))
     return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT conv_id || '' AS snapshot_key, conv_id AS conversation_id, turn AS message_id FROM conversations WHERE conv_id || '-' || turn IN ('1-0', '1-1')")
+def citation(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("snapshot_key"), F.col("conv_id").alias("conversation_id"), F.col("turn").alias("message_id"), F.concat_ws("-", "conv_id", "turn").alias("source_id"))
+    return snapshots.citation(rows, "1-0").unionByName(snapshots.citation(rows, "1-1"))
+
+
+@query("SELECT event_type, 'changed' AS state FROM events GROUP BY 1 HAVING bool_or(event_id % 101 = 0) AND bool_or(event_id % 101 <> 0) UNION ALL SELECT event_type, 'removed' FROM events GROUP BY 1 HAVING bool_and(event_id % 101 = 0)")
+def digest_changes(spark, d):
+    rows = table(spark, d, "events")
+    digest = lambda x: snapshots.state_digest(x, ["event_id", "user_id"], "event_type")
+    return snapshots.digest_changes(digest(rows), digest(rows.where("event_id % 101 <> 0")), "event_type")
+
+
+@query(_WALK + ", c AS (SELECT conv_id % 5 AS snapshot, conv_id, parent, count(*) AS n FROM t GROUP BY ALL), m AS (SELECT snapshot, CAST(sum(n) AS BIGINT) AS nodes, CAST(coalesce(sum(n) FILTER (parent IS NULL), 0) AS BIGINT) AS roots, count(*) FILTER (parent IS NOT NULL AND n > 1) AS branch_points, CAST(coalesce(sum(n - 1) FILTER (parent IS NOT NULL), 0) AS BIGINT) AS alternatives FROM c GROUP BY 1) UNPIVOT m ON nodes, roots, branch_points, alternatives INTO NAME metric VALUE value")
+def graph_metrics(spark, d):
+    nodes = _tree(spark, d)[0].select((F.col("conv_id") % 5).alias("snapshot"), F.when(F.col("parent").isNotNull(), F.struct("conv_id", "parent")).alias("parent"))
+    return validation.graph_metrics(nodes, snapshot="snapshot", parent="parent")
+
+
+@query("""
+WITH a AS (SELECT sha256(url) AS sha256, page_id FROM pages WHERE page_id % 10 <> 3)
+SELECT sha256, 'assets/sha256/' || substring(sha256, 1, 2) || '/' || sha256 AS path, 'missing' AS fault FROM a GROUP BY sha256 HAVING bool_and(page_id % 10 = 0)
+UNION ALL SELECT sha256, 'assets/sha256/' || substring(sha256, 1, 2) || '/' || sha256, 'size' FROM a GROUP BY sha256 HAVING min(page_id) % 10 = 5
+UNION ALL SELECT sha256(url), 'assets/sha256/' || substring(sha256(url), 1, 2) || '/' || sha256(url), 'orphan' FROM pages WHERE page_id % 10 = 3""")
+def store_faults(spark, d):
+    rows = table(spark, d, "pages").withColumn("sha256", F.sha2("url", 256)).withColumn("size", F.length("html").cast("long"))
+    place = F.concat_ws("/", F.lit("assets/sha256"), F.substring("sha256", 1, 2), F.col("sha256"))
+    files = rows.where("page_id % 10 <> 0").select(place.alias("path"), (F.col("size") + F.when(F.col("page_id") % 10 == 5, 1).otherwise(0)).alias("size"), "sha256")
+    return validation.store_faults(rows.where("page_id % 10 <> 3").select("sha256", "size"), files)
+
+
+@query("""
+WITH l AS (SELECT event_type AS file, CASE WHEN event_id % 50 = 0 THEN 'x' ELSE props END AS value FROM events WHERE event_type <> 'view'),
+f AS (SELECT file, count(*) AS n, count(*) FILTER (value = 'x') AS bad FROM l GROUP BY 1)
+SELECT file, 'invalid' AS fault, bad AS n FROM f WHERE bad > 0 UNION ALL SELECT file, 'records', n FROM f WHERE file <> 'click' UNION ALL SELECT 'click', 'undeclared', n FROM f WHERE file = 'click'
+UNION ALL SELECT 'view', 'missing', (SELECT count(*) + 1 FROM events WHERE event_type = 'view')""")
+def ndjson_closure(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_type").alias("file"), F.when(F.col("event_id") % 50 == 0, "x").otherwise(F.col("props")).alias("value"))
+    declared = rows.where("file <> 'click'").groupBy("file").agg((F.count("*") + 1).alias("records"))
+    return validation.ndjson_closure(declared, rows.where("file <> 'view'"))
+
+
+@query("SELECT c.conv_id || '-' || c.turn AS candidate_id, b.conv_id, b.turn, b.turn - c.turn AS distance FROM conversations c JOIN conversations b ON b.conv_id = c.conv_id AND abs(b.turn - c.turn) <= 2 WHERE c.turn % 7 = 3")
+def source_context(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("turn").alias("depth"))
+    candidates = rows.where("turn % 7 = 3").select(F.concat_ws("-", "conv_id", "turn").alias("candidate_id"), "conv_id", "turn")
+    return memory.source_context(candidates, rows, thread="conv_id", message="turn").select("candidate_id", "conv_id", "turn", "distance")

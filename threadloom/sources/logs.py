@@ -13,9 +13,14 @@ MAX_LINE = 16 * 1024 * 1024
 
 
 def session_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, line, id, parent, role, text, raw_sha256 of the complete entries of session logs; an incomplete last line (no
-    valid JSON) is left for the next reading."""
-    lines = spark.read.format("text").load(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    """file, type, id, parent, role, text, raw_sha256 of the entries of session logs. A last line without a line end is still
+    being written and left for the next reading; any other line that is no JSON stops the query."""
+    lines = spark.read.format("text").load(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
+    # A split may end anywhere, so that a file's bytes tell whether its last line has an end: they are one more than without.
+    whole = lines.groupBy("file").agg((F.sum(F.octet_length("value") + 1) <= F.max("size")).alias("ended"))
+    broken = lines.where(F.try_parse_json("value").isNull() & (F.trim("value") != "")).groupBy("file").agg(F.count("*").alias("n")).join(whole, "file")
+    if not broken.where((F.col("n") > 1) | F.col("ended")).isEmpty():
+        raise ValueError("a line that isn't the last one of its file is no JSON")
     return parse_entries(lines)
 
 

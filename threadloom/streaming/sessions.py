@@ -15,7 +15,9 @@ def append_sessions(spark: SparkSession, folder: str, table_path: str, checkpoin
     lines = spark.readStream.format("text").load(folder).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def write(batch: DataFrame, _: int) -> None:
-        new = parse_entries(batch).dropDuplicates(["file", "id"])
+        new = parse_entries(batch).dropDuplicates(["file", "id", "raw_sha256"])
+        if not new.groupBy("file", "id").count().where("count > 1").isEmpty():
+            raise ValueError("one id has two entries")
         try:
             known = spark.read.parquet(table_path)
         except Exception as missing:
