@@ -30,7 +30,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Two generations of recent words, so many each.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 250_000
 KEPT_PAIRS = 1_000_000
 SLICE_BYTES = 1 << 21
 #: What stands before the first piece.
