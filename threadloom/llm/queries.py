@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import credentials, imatch, jaccard, licenses, lines, packing, passages, pieces, repeats
+from threadloom.llm import balls, bestfit, credentials, imatch, jaccard, ladder, licenses, lines, packing, passages, pieces, repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -81,6 +81,33 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.summary(docs, passages.near_passages(docs))
 
 
+#: The vocabulary that op11 encodes with.
+VOCABULARY_FILE = os.environ.get("THREADLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place in a sequence of 2048 tokens for every piece of every document."""
+    pieces_ = bestfit.cut(_table(spark, sf_dir).select("doc_id", "text"), VOCABULARY_FILE, capacity=2048)
+    return bestfit.place(pieces_.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
+
+
+#: Items whose revenues one key of op12's state holds.
+ITEMS_A_SHARD = 16_384
+
+
+def op12_leaderboard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of every nation's ten best items by revenue, arrival day after arrival day."""
+    items = _table(spark, sf_dir, "items")
+    events = ladder.sale_events(_table(spark, sf_dir, "sale_lines"), _table(spark, sf_dir, "vendors"), items)
+    feed = ladder.change_feed(events, shards=max(8, -(-items.count() // ITEMS_A_SHARD)))
+    return feed.withColumnRenamed("board", "nation_id")
+
+
+def op13_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after five rounds with 40 centroids, and its exact distance."""
+    return balls.cluster(balls.scaled_vectors(_table(spark, sf_dir, "embeddings")), size=64, k=40, rounds=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -93,6 +120,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_compact_windows": op10_compact_windows,
+        "op11_best_fit_packing": op11_best_fit_packing,
+        "op12_leaderboard_feed": op12_leaderboard_feed,
+        "op13_ball_tree_clusters": op13_ball_tree_clusters,
     }
 
 
@@ -109,6 +139,26 @@ frequent AS (
   GROUP BY host, norm, pages HAVING count(DISTINCT doc_id) >= {min_pages} AND count(DISTINCT doc_id) > pages * {share})"""
 
 
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Plain assignment of every vector to all centroids, round by round."""
+    square = "list_inner_product({a}, {a})"
+    to = f"{square.format(a='x.f')} - 2 * list_inner_product(x.f, c.f) + {square.format(a='c.f')}"
+    parts = [
+        f"x AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS f FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), f) - 1 AS cluster, f FROM x QUALIFY cluster < {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT n, arg_min(struct_pack(c := cluster, d := d), d * 64 + cluster) AS best FROM (SELECT x.n, c.cluster, {to} AS d FROM x, c{r} c) GROUP BY n)")
+        if r < rounds:
+            parts.append(f"s{r} AS (SELECT best.c AS cluster, i, sum(CAST(f[i] AS BIGINT)) AS s, count(*) AS m FROM x JOIN a{r} USING (n), range(1, 65) t(i) GROUP BY 1, 2)")
+            parts.append(f"m{r} AS (SELECT cluster, list(CAST((s - ((s % m) + m) % m) // m AS DOUBLE) ORDER BY i) AS f FROM s{r} GROUP BY cluster)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.f, c.f) AS f FROM c{r} c LEFT JOIN m{r} m USING (cluster))")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT x.vec_id, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(CAST(best.d AS BIGINT)) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(CAST(best.d AS BIGINT)) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.f, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM x JOIN a{rounds} USING (n) JOIN c{rounds} c ON c.cluster = best.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     spell = "lower(coalesce(text, ''))"
     spell = rf"regexp_replace({spell}, '(?m){licenses.COPYRIGHT_LINE}', '', 'g')"
@@ -149,4 +199,5 @@ a AS (
 m AS (SELECT a.*, solid AND f.norm IS NOT NULL AS dropped FROM a LEFT JOIN frequent f ON a.host = f.host AND a.norm = f.norm)
 SELECT doc_id, count(*) FILTER (solid) AS n_lines, count(*) FILTER (dropped) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '') AS text
 FROM m GROUP BY doc_id""",
+        "op13_ball_tree_clusters": _clusters_sql(),
     }
