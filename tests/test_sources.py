@@ -206,12 +206,12 @@ def test_deep_trees_cycles_and_strangers(spark):
     assert got == {(1, i): i for i in range(300)} | {(2, 7): 0}
 
 
-def test_digest_chain(spark):
+def test_ordinal_faults(spark):
     from threadloom.operators import validation
 
     good = "a" * 64
     rows = spark.createDataFrame([("s", 0, good), ("s", 1, "x"), ("s", 3, good), ("t", 0, good)], "store string, ordinal int, digest string")
-    assert sorted((r["store"], r["ordinal"], r["fault"]) for r in validation.digest_chain(rows, group="store", order="ordinal", digest="digest").collect()) == [("s", 1, "digest"), ("s", 3, "ordinal")]
+    assert sorted((r["store"], r["ordinal"], r["fault"]) for r in validation.ordinal_faults(rows, group="store", order="ordinal", digest="digest").collect()) == [("s", 1, "digest"), ("s", 3, "ordinal")]
 
 
 def test_fingerprints_don_t_depend_on_the_origin():

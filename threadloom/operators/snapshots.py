@@ -33,20 +33,37 @@ def decompose(records: DataFrame, identity: str, payload_hash: str, snapshot: st
     }
 
 
+def numbered(snapshots: DataFrame, snapshot: str, order: str) -> DataFrame:
+    """snapshot, k: the captures, one row each, numbered from 1 in their order (then by key)."""
+    return snapshots.select(F.col(snapshot).alias("snapshot"), F.col(order).alias("at")).distinct().select("snapshot", F.row_number().over(Window.orderBy("at", "snapshot")).alias("k"))
+
+
+def presence_runs(observations: DataFrame, snapshots: DataFrame, *, snapshot: str = "snapshot", identity: str = "identity", order: str = "captured_at") -> DataFrame:
+    """identity, state, first, last: one row for each run of captures, numbered from 1, in which an identity is present, or absent
+    after it was seen.
+
+    Islands of an identity's own sightings and the gaps between and after them: no identity is joined with captures that it
+    isn't in, so that the rows follow the changes, not identities times captures. Repeated observations count once;
+    observations of unknown snapshots count nowhere; a null identity is one."""
+    captures = numbered(snapshots, snapshot, order)
+    total = F.max("k").over(Window.partitionBy())
+    seen = observations.select(F.col(identity).alias("identity"), F.col(snapshot).alias("snapshot")).distinct().join(captures.select("snapshot", "k", total.alias("total")), "snapshot")
+    own = Window.partitionBy("identity").orderBy("k")
+    runs = seen.withColumn("island", F.col("k") - F.row_number().over(own)).groupBy("identity", "island").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.max("total").alias("total"))
+    ahead = F.coalesce(F.lead("first").over(Window.partitionBy("identity").orderBy("first")) - 1, F.col("total"))
+    pair = F.array(F.struct(F.lit("present").alias("state"), F.col("first"), F.col("last")), F.struct(F.lit("absent").alias("state"), (F.col("last") + 1).alias("first"), F.col("until").alias("last")))
+    both = runs.withColumn("until", ahead).select("identity", F.inline(pair)).where(F.col("first") <= F.col("last"))
+    return both.select(F.col("identity").alias(identity), "state", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+
+
 def source_absences(observations: DataFrame, snapshots: DataFrame, *, snapshot: str = "snapshot", identity: str = "identity", order: str = "captured_at") -> DataFrame:
     """snapshot, identity, prior_snapshot: every snapshot that lacks an identity which an earlier one has, and the last that
-    has it; repeated until the identity comes back.
-
-    snapshots (snapshot, order) is one row a capture and is joined with identities from their first sighting on only. The
-    grid is the answer's own shape: an identity's absences are as many as the captures that lack it."""
-    seen = observations.select(F.col(identity).alias("identity"), F.col(snapshot).alias("snapshot")).distinct()
-    captures = snapshots.select(F.col(snapshot).alias("snapshot"), F.struct(F.col(order), F.col(snapshot)).alias("at"))
-    first = seen.join(captures, "snapshot").groupBy("identity").agg(F.min("at").alias("since"))
-    grid = first.join(captures, F.col("at") >= F.col("since"))
-    present = grid.join(seen.withColumn("present", F.lit(True)), ["identity", "snapshot"], "left")
-    before = Window.partitionBy("identity").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    filled = present.withColumn("prior_snapshot", F.last(F.when(F.col("present"), F.col("snapshot")), ignorenulls=True).over(before))
-    return filled.where(F.col("present").isNull()).select(F.col("snapshot").alias(snapshot), F.col("identity").alias(identity), F.col("prior_snapshot").alias(f"prior_{snapshot}"))
+    has it; repeated until the identity comes back. The runs of absence, written out by snapshot."""
+    captures = numbered(snapshots, snapshot, order)
+    gone = presence_runs(observations, snapshots, snapshot=snapshot, identity=identity, order=order).where("state = 'absent'")
+    listed = gone.select(F.col(identity).alias("identity"), (F.col("first") - 1).alias("before"), F.explode(F.sequence("first", "last")).alias("k"))
+    named = listed.join(captures, "k").join(captures.select(F.col("k").alias("before"), F.col("snapshot").alias("prior_snapshot")), "before")
+    return named.select(F.col("snapshot").alias(snapshot), F.col("identity").alias(identity), F.col("prior_snapshot").alias(f"prior_{snapshot}"))
 
 
 def snapshot_deltas(observations: DataFrame, snapshots: DataFrame, *, snapshot: str = "snapshot", identity: str = "identity", version: str = "version", order: str = "captured_at") -> DataFrame:
@@ -64,12 +81,16 @@ def snapshot_deltas(observations: DataFrame, snapshots: DataFrame, *, snapshot:
 
 def presence_history(observations: DataFrame, snapshots: DataFrame, identities: DataFrame, *, snapshot: str = "snapshot", identity: str = "identity", order: str = "captured_at") -> DataFrame:
     """identity, snapshot, state of every given identity at every snapshot: present, absent_in_snapshot (seen before) or
-    unknown."""
-    absent = source_absences(observations, snapshots, snapshot=snapshot, identity=identity, order=order)
-    seen = observations.join(identities, identity, "left_semi").select(identity, snapshot).distinct().withColumn("p", F.lit(True))
-    grid = identities.select(identity).distinct().join(snapshots.select(snapshot), F.lit(True))
-    out = grid.join(seen, [identity, snapshot], "left").join(absent.select(identity, snapshot, F.lit(True).alias("a")), [identity, snapshot], "left")
-    return out.select(identity, snapshot, F.when(F.col("p"), "present").when(F.col("a"), "absent_in_snapshot").otherwise("unknown").alias("state"))
+    unknown. Runs, and those before the first sighting, written out by snapshot."""
+    captures = numbered(snapshots, snapshot, order)
+    asked = identities.select(F.col(identity).alias("identity")).distinct()
+    runs = presence_runs(observations, snapshots, snapshot=snapshot, identity=identity, order=order).withColumnRenamed(identity, "identity")
+    runs = runs.join(asked, runs["identity"].eqNullSafe(asked["identity"]), "left_semi")
+    first = runs.groupBy("identity").agg(F.min("first").alias("since"))
+    before = asked.join(first, asked["identity"].eqNullSafe(first["identity"]), "left").select(asked["identity"], F.lit("unknown").alias("state"), F.lit(1).cast("long").alias("first"), F.coalesce(F.col("since") - 1, F.lit(captures.count())).cast("long").alias("last"))
+    states = F.when(F.col("state") == "absent", "absent_in_snapshot").otherwise(F.col("state"))
+    every = runs.unionByName(before).where(F.col("first") <= F.col("last")).select("identity", states.alias("state"), F.explode(F.sequence("first", "last")).alias("k"))
+    return every.join(captures, "k").select(F.col("identity").alias(identity), F.col("snapshot").alias(snapshot), "state")
 
 
 def update_summary(before: DataFrame, after: DataFrame, identity: str, version: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions.canonical import canonical_hash
 from threadloom.functions.text import message_text
@@ -119,13 +123,75 @@ def search_faults(messages: DataFrame, index: DataFrame, *, key: str, raw: str,
     return both.select(key, fault.alias("fault")).where(F.col("fault").isNotNull())
 
 
-def digest_chain(rows: DataFrame, *, group: str, order: str, digest: str) -> DataFrame:
+def ordinal_faults(rows: DataFrame, *, group: str, order: str, digest: str) -> DataFrame:
     """group, ordinal, fault: records of a store whose ordinals (from 0, without a gap) or hex digests aren't as they must."""
     at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
     fault = F.when(F.col(order) != F.col("at"), "ordinal").when(~F.rlike(F.coalesce(F.col(digest), F.lit("")), F.lit("^[0-9a-f]{64}$")), "digest")
     return rows.withColumn("at", at).select(group, F.col(order).alias("ordinal"), fault.alias("fault")).where(F.col("fault").isNotNull())
 
 
+def ordered_digests(rows: DataFrame, *, group: str, order: str, value: str) -> DataFrame:
+    """group, n, digest: SHA-256 over the bytes of a group's values, one after the other in the order of `order` (ties: by value).
+
+    Such a digest can only be made in order, so that a group's rows go through one task, as a stream: partitions are sorted and
+    folded batch by batch, with a hash's state and a count carried along, and no group is ever in memory. What goes through
+    should be short (digests of rows). block_digests makes a digest of a group by many tasks. Null values add no bytes; a null
+    group is a group."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, n, done = None, None, 0, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = batch.column(1).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(marks[1:] != marks[:-1]) + 1).tolist(), len(marks)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if state is None or marks[a] != key[0]:
+                    if state is not None:
+                        done.append((key[1], n, state.hexdigest()))
+                    key, state, n = (marks[a], batch.column(0)[a]), hashlib.sha256(), 0
+                for x in batch.column(2)[a:b]:
+                    if x.is_valid:
+                        state.update(x.as_buffer())
+                n += b - a
+        if state is not None:
+            done.append((key[1], n, state.hexdigest()))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k, _, _ in done], done[0][0].type), pa.array([c for _, c, _ in done], pa.int64()), pa.array([d for _, _, d in done])], names=[group, "n", "digest"])
+
+    mark = F.coalesce(F.col(group).cast("string"), F.lit("")) if dict(rows.dtypes)[group] == "string" else F.col(group).cast("string")
+    keyed = rows.select(group, F.concat(F.when(F.col(group).isNull(), "n").otherwise("v"), F.coalesce(mark, F.lit(""))).alias("__mark"), F.col(value).cast("binary").alias("__value"), F.col(order).alias("__order"))
+    placed = keyed.repartition("__mark").sortWithinPartitions("__mark", "__order", "__value").drop("__order")
+    return placed.mapInArrow(fold, T.StructType([rows.schema[group], T.StructField("n", T.LongType()), T.StructField("digest", T.StringType())]))
+
+
+def block_digests(rows: DataFrame, *, group: str, order: str, value: str, block: int = 65_536) -> DataFrame:
+    """group, n, digest as ordered_digests over the digests of blocks: a group's rows whose integer `order` div `block` is the same
+    are digested together, each block in a task of its own, and only 32 bytes a block are folded by group."""
+    cells = rows.select(F.struct(F.col(group).alias("g"), F.floor(F.col(order) / block).alias("b")).alias("cell"), F.col(order).alias("o"), F.col(value).alias("v"))
+    blocks = ordered_digests(cells.withColumn("cell", F.to_json("cell", {"ignoreNullFields": "false"})), group="cell", order="o", value="v")
+    kind = rows.schema[group].dataType.simpleString()
+    read = blocks.select(F.from_json("cell", f"g {kind}, b bigint").alias("c"), "n", F.unhex("digest").alias("digest")).select(F.col("c.g").alias(group), F.col("c.b").alias("b"), "n", "digest")
+    counts = read.groupBy(group).agg(F.sum("n").alias("n"))
+    folded = ordered_digests(read, group=group, order="b", value="digest").drop("n")
+    return folded.join(counts.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g"))).select(group, "n", "digest")
+
+
+def store_digests(rows: DataFrame, *, store: str = "store", ordinal: str = "cursor_ordinal", row: str = "canonical_row_sha256", decoded: str = "decoded_value_sha256") -> DataFrame:
+    """store, n, digest: the chained digest of each store of a recovery run, from its rows' ordinals and two hex digests."""
+    end = F.lit(b"\x00")
+    part = lambda c: F.col(c).cast("string").cast("binary")
+    value = F.concat(part(ordinal), end, part(row), end, part(decoded), end)
+    return ordered_digests(rows.select(store, ordinal, value.alias("value")), group=store, order=ordinal, value="value")
+
+
+def run_digest(stores: DataFrame, *, store: str = "store") -> DataFrame:
+    """One row, n and digest: the digest of a run over its stores' names, counts and digests, in the order of the names' bytes."""
+    end = F.lit(b"\x00")
+    value = F.concat(*[x for c in (store, "n", "digest") for x in (F.col(c).cast("string").cast("binary"), end)])
+    return ordered_digests(stores.select(F.lit(0).alias("run"), F.col(store).cast("binary").alias("at"), value.alias("value")), group="run", order="at", value="value").drop("run")
+
+
 def graph_metrics(nodes: DataFrame, *, snapshot: str, parent: str) -> DataFrame:
     """snapshot, metric, value: nodes, roots, branch_points (parents of several nodes) and alternatives (children beyond the
     first). One pass over nodes counts children by parent; all else is sums of that."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import canonical, text
-from threadloom.operators import analytics, annotations, graph, memory, recall, search, semantic, snapshots, validation
+from threadloom.operators import analytics, annotations, graph, memory, object_graph, recall, search, semantic, snapshots, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -262,6 +262,43 @@ def presence_history(spark, d):
     return snapshots.presence_history(seen, captures, seen.select("user_id").distinct(), identity="user_id")
 
 
+@query(f"""
+WITH {_DAYS}, num AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS k FROM snap),
+s AS (SELECT user_id, k, n IS NULL AS gone FROM filled JOIN num USING (snapshot)),
+i AS (SELECT *, k - row_number() OVER (PARTITION BY user_id, gone ORDER BY k) AS island FROM s)
+SELECT user_id, CASE WHEN gone THEN 'absent' ELSE 'present' END AS state, min(k) AS first, max(k) AS last FROM i GROUP BY user_id, gone, island""")
+def presence_runs(spark, d):
+    seen, captures = _days(spark, d)
+    return snapshots.presence_runs(seen, captures, identity="user_id")
+
+
+@query("""
+SELECT event_type AS store, count(*) AS n, sha256(string_agg(event_id || chr(0) || sha256(props) || chr(0) || sha256(CAST(user_id AS VARCHAR)) || chr(0), '' ORDER BY event_id)) AS digest
+FROM events GROUP BY event_type""")
+def chained_store_digest(spark, d):
+    hashed = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    rows = table(spark, d, "events").select(F.col("event_type").alias("store"), F.col("event_id").alias("cursor_ordinal"), hashed("props").alias("canonical_row_sha256"), hashed("user_id").alias("decoded_value_sha256"))
+    return validation.store_digests(rows)
+
+
+_STEPS = """
+step AS (SELECT o_orderpriority AS graph, l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 40),
+edge AS (SELECT DISTINCT graph, source, target FROM step WHERE target IS NOT NULL),
+root AS (SELECT DISTINCT o_orderpriority AS graph, l_partkey AS node FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_discount = 0 AND l_tax = 0)"""
+
+
+@query(f"""
+WITH RECURSIVE {_STEPS},
+walk AS (SELECT graph, node, 0 AS depth FROM root UNION SELECT w.graph, e.target, w.depth + 1 FROM walk w JOIN edge e ON w.graph = e.graph AND w.node = e.source WHERE w.depth < 60)
+SELECT graph, node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY graph, node""")
+def object_graph_reach(spark, d):
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("graph"), F.col("l_partkey").alias("source"), "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    ahead = F.lead("source").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "source"))
+    edges = lines.where("l_quantity > 40").select("graph", "source", ahead.alias("target"))
+    roots = lines.where("l_quantity = 50 AND l_discount = 0 AND l_tax = 0").select("graph", F.col("source").alias("node"))
+    return object_graph.reachable_from(edges, roots)
+
+
 @query(f"""
 WITH {_DAYS}, two AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS i FROM snap),
 a AS (SELECT user_id, n FROM obs JOIN two USING (snapshot) WHERE i = 1), b AS (SELECT user_id, n FROM obs JOIN two USING (snapshot) WHERE i = 2)
