@@ -244,3 +244,16 @@ def test_command_line(spark, tmp_path, capsys):
     if os.path.isdir(folder):
         assert main(["run", "role_distribution", folder, "--out", str(tmp_path / "out")]) == 0
         assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_broken_files_stop_the_queries(spark, tmp_path):
+    (tmp_path / "conversations.json").write_text('[{"id": "a", "mapping": {}}, {"id": ')
+    (tmp_path / "library_files.json").write_text('{"file_id": "f1"}')
+    with pytest.raises(Exception, match="broken source"):
+        exports.import_snapshots(spark, {"one": str(tmp_path / "conversations.json")}, scope="s")
+    with pytest.raises(Exception, match="broken source"):
+        exports.library_files(spark, str(tmp_path / "library_files.json")).collect()
+    for i, text in enumerate(['{"chats": [{"id": "g", "messages"', "[]", '{"chats": [{"id": "g"}]}', '{"chats": [{"id": "g", "messages": [{"text": "x"}]}]}']):
+        (tmp_path / f"group{i}.json").write_text(text)
+        with pytest.raises(Exception, match="broken group chats"):
+            exports.group_chats(spark, str(tmp_path / f"group{i}.json"), scope="s", snapshot="one")["group_messages"].collect()

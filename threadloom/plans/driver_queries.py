@@ -282,9 +282,9 @@ def chained_store_digest(spark, d):
 
 
 _STEPS = """
-step AS (SELECT o_orderpriority AS graph, l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 40),
+step AS (SELECT o_orderpriority AS graph, l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 15),
 edge AS (SELECT DISTINCT graph, source, target FROM step WHERE target IS NOT NULL),
-root AS (SELECT DISTINCT o_orderpriority AS graph, l_partkey AS node FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_discount = 0 AND l_tax = 0)"""
+root AS (SELECT DISTINCT o_orderpriority AS graph, l_partkey AS node FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_discount = 0)"""
 
 
 @query(f"""
@@ -294,8 +294,8 @@ SELECT graph, node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY graph
 def object_graph_reach(spark, d):
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("graph"), F.col("l_partkey").alias("source"), "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
     ahead = F.lead("source").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "source"))
-    edges = lines.where("l_quantity > 40").select("graph", "source", ahead.alias("target"))
-    roots = lines.where("l_quantity = 50 AND l_discount = 0 AND l_tax = 0").select("graph", F.col("source").alias("node"))
+    edges = lines.where("l_quantity > 15").select("graph", "source", ahead.alias("target"))
+    roots = lines.where("l_quantity = 50 AND l_discount = 0").select("graph", F.col("source").alias("node"))
     return object_graph.reachable_from(edges, roots)
 
 
