@@ -226,13 +226,18 @@ def sale_events(lines: DataFrame, vendors: DataFrame, items: DataFrame, *, first
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "item_id", "vendor_id", "line_no")]
     h = F.crc32(F.concat_ws(",", *text).cast("binary"))
     day = F.coalesce(F.unix_date(F.col("shipped_at").cast("date")).cast("long"), first_day + h % 150)
-    lines = lines.select("item_id", "vendor_id", "quantity", "amount", "flag", day.alias("day"), (h % 7 + F.when(h % 5 == 0, 20).otherwise(0)).alias("delay"))
-    lines = lines.withColumn("arrival_day", F.col("day") + F.col("delay"))
+    sign = F.when(F.col("flag") == "returned", -1).otherwise(1)
+    delay = (h % 7 + F.when(h % 5 == 0, 20).otherwise(0)).cast("int")
+    own = F.floor(F.col("amount") * 100 + 0.5).cast("double") * sign
+    quantity = F.when(F.col("amount").isNull(), F.col("quantity") * sign)
+    lines = lines.select("item_id", "vendor_id", day.cast("int").alias("day"), delay.alias("delay"), own.alias("own"), quantity.alias("quantity"))
     nation = vendors.where("vendor_id IS NOT NULL").groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id"))
     price = items.where("item_id IS NOT NULL").groupBy(F.col("item_id").alias("known")).agg(F.min("price").alias("price"))
-    joined = lines.join(nation, "vendor_id", "left").join(price, F.col("item_id") == F.col("known"), "left")
-    cents = F.coalesce(F.floor(F.col("amount") * 100 + 0.5), F.col("quantity") * F.floor(F.col("price") * 100 + 0.5)).cast("double")
+    # vendors and items grow with the lines: they aren't broadcast at any size
+    joined = lines.join(nation.hint("merge"), "vendor_id", "left").join(price.hint("merge"), F.col("item_id") == F.col("known"), "left")
+    joined = joined.withColumn("day", F.col("day").cast("long")).withColumn("arrival_day", F.col("day") + F.col("delay"))
+    cents = F.coalesce("own", (F.col("quantity") * F.floor(F.col("price") * 100 + 0.5)).cast("double"))
     cents = F.when(F.isnan(cents), 0.0).otherwise(cents)
     batch = F.greatest(F.lit(1), F.least(F.lit(batches), 1 + F.floor((F.col("arrival_day") - first_day) * batches / span))).cast("int")
     board = F.when(F.col("known").isNotNull(), F.col("nation_id"))
-    return joined.select(board.alias("board"), "item_id", "day", "arrival_day", F.when(F.col("flag") == "returned", -cents).otherwise(cents).alias("amount"), batch.alias("batch"))
+    return joined.select(board.alias("board"), "item_id", "day", "arrival_day", cents.alias("amount"), batch.alias("batch"))
