@@ -64,13 +64,13 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         out += [(m.start(), 4, m.end()) for m in _BARE.finditer(text) if _random_looking(m[0])]
         if any(w in low for w in _ASSIGN_WORDS):
             out += [(m.start(), 4, m.end()) for m in _ASSIGN.finditer(text) if _SHORT <= len(m[2]) < 12]
-    taken: list[tuple[int, int]] = sorted((s, e) for s, _, e in base)
-    kept = []
+    starts = [s for s, _, _ in base]
+    ends = list(accumulate((e for _, _, e in base), max))  # base spans may lie in each other: the farthest end so far counts
+    kept: list[tuple[int, int, int]] = []
     for s, k, e in sorted(out, key=lambda x: (x[0], -x[2], x[1])):
-        i = bisect_left(taken, (e, -1))
-        if not any(a < e and s < b for a, b in taken[max(0, i - 2) : i]):
+        before = bisect_left(starts, e)
+        if not (before and ends[before - 1] > s) and not (kept and kept[-1][2] > s):
             kept.append((s, k, e))
-            taken.insert(bisect_left(taken, (s, e)), (s, e))
     return kept
 
 
