@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, so that plans of many rounds don't nest."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: the one for checkpoints, which a cluster's session must name."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+    return context.getCheckpointDir()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so that plans of many rounds don't nest."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

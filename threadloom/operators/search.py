@@ -18,9 +18,10 @@ def matches(text: Column, phrase: str) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """The overlapping three-character substrings of the lower-cased text."""
-    low = F.lower(text)
-    return F.when(F.length(low) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
+    """The overlapping three-character substrings of the lower-cased text, whose characters are split once."""
+    joined = lambda x, y: F.concat(x, y)
+    of = lambda c: F.zip_with(F.zip_with(c, F.slice(c, 2, F.size(c)), joined), F.slice(c, 3, F.size(c)), joined)
+    return F.filter(F.transform(F.array(F.split(F.lower(text), "")), of)[0], lambda g: g.isNotNull())
 
 
 def trigram_postings(docs: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:

@@ -6,13 +6,14 @@ Snapshots on `events`: a snapshot is a day, an identity a user, a version the da
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import canonical, text
-from threadloom.operators import analytics, annotations, graph, memory, object_graph, recall, search, semantic, snapshots, validation
+from threadloom.operators import analytics, annotations, graph, memory, object_graph, postings, recall, search, semantic, snapshots, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -99,6 +100,17 @@ def bm25_phrase(spark, d):
     return found.select("doc_id", search.occurrences(F.col("text"), "tion").cast("long").alias("tf"), F.round("score", 6).alias("score"))
 
 
+@query("""
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT count(*) AS n, avg(greatest(length(t) - 2, 0)) AS mean, count(*) FILTER (contains(t, 'license')) AS df FROM d),
+h AS (SELECT doc_id, greatest(length(t) - 2, 0) AS dl, len(list_filter(range(1, length(t) - 5), lambda i: substring(t, i, 7) = 'license')) AS tf FROM d WHERE contains(t, 'license'))
+SELECT doc_id, CAST(tf AS BIGINT) AS tf, round(-greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS score FROM h, s""")
+def indexed_phrase_search(spark, d):
+    root = f"{graph.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    postings.add_documents(spark, root, "all", table(spark, d, "documents").select("doc_id", "text"))
+    return postings.ranked(spark, root, "License").select(F.col("id").alias("doc_id"), "tf", F.round("score", 6).alias("score"))
+
+
 @query("""
 WITH g AS (SELECT conv_id, turn, substring(lower(text), i, 3) AS trigram FROM conversations, unnest(range(1, length(text) - 1)) u(i))
 SELECT trigram, count(DISTINCT (conv_id, turn)) AS n_docs, count(*) AS n_occurrences FROM g GROUP BY trigram""")

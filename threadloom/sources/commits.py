@@ -16,7 +16,9 @@ ENTRY = "key string, attempt string, profile string, tables map<string, struct<r
 def table_digest(rows: DataFrame) -> tuple[int, str]:
     """How many rows, and a digest of them in which their order doesn't count: each row's SHA-256 is four words, and the words'
     exact sums are hashed. Sums are made map-side, so that no rows meet anywhere; repeated rows count each."""
-    row = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
+    kinds = dict(rows.dtypes)
+    short = [F.sha2(F.col(c), 256).alias(c) if kinds[c] == "binary" else F.col(c) for c in sorted(rows.columns)]
+    row = F.sha2(F.to_json(F.struct(*short), {"ignoreNullFields": "false"}), 256)
     word = lambda i: F.conv(F.substring(row, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")
     got = rows.agg(F.count("*").alias("n"), *[F.sum(word(i)).alias(f"w{i}") for i in range(4)]).first()
     return got["n"], hashlib.sha256(":".join(str(got[f"w{i}"] or 0) for i in range(4)).encode()).hexdigest()
@@ -41,14 +43,14 @@ def _stored(spark: SparkSession, root: str, table: str, attempt: str) -> DataFra
     return spark.read.parquet(f"{root}/data/{table}/attempt={attempt}")
 
 
-def publish(spark: SparkSession, root: str, key: str, tables: dict[str, DataFrame], *, profile: dict | None = None) -> str:
+def publish(spark: SparkSession, root: str, key: str, tables: dict[str, DataFrame], *, profile: dict | None = None, layout: dict[str, list[str]] | None = None) -> str:
     """"committed" when the tables of snapshot `key` are new and now visible, "no_op" when they were there and are sound.
 
     All tables are written below data/ under an attempt of their own and read back for their digests; then one log entry is
     written, whose single file Spark's committer renames into place. Readers go by the log, so that a crash before that leaves
     nothing visible and the next call starts anew. A key that is in the log is held against it instead: another profile, other
     tables or digests than those given now, or stored data whose digests aren't the log's, are errors. Null and nested columns
-    count in digests; empty tables are tables. One writer at a time may publish a key."""
+    count in digests; empty tables are tables. layout names columns that a table's folders are parted by. One writer at a time may publish a key."""
     wanted = json.dumps(profile or {}, sort_keys=True)
     known = commits(spark, root).where(F.col("key") == key).first()
     if known:
@@ -62,7 +64,7 @@ def publish(spark: SparkSession, root: str, key: str, tables: dict[str, DataFram
         return "no_op"
     attempt, digests = uuid.uuid4().hex, {}
     for name, rows in tables.items():
-        rows.write.parquet(f"{root}/data/{name}/attempt={attempt}")
+        rows.write.partitionBy(*(layout or {}).get(name, [])).parquet(f"{root}/data/{name}/attempt={attempt}")
         n, digest = table_digest(_stored(spark, root, name, attempt))
         digests[name] = {"rows": n, "digest": digest}
     entry = json.dumps({"key": key, "attempt": attempt, "profile": wanted, "tables": digests})
