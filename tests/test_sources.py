@@ -257,3 +257,14 @@ def test_broken_files_stop_the_queries(spark, tmp_path):
         (tmp_path / f"group{i}.json").write_text(text)
         with pytest.raises(Exception, match="broken group chats"):
             exports.group_chats(spark, str(tmp_path / f"group{i}.json"), scope="s", snapshot="one")["group_messages"].collect()
+
+
+def test_repeated_keys_are_json_and_the_last_counts(spark):
+    from threadloom.functions.canonical import last_keys
+    from threadloom.functions.text import message_text
+
+    rows = [('{"content":{"text":"x","text":"y"}}',), ('{"a":1,"a":2}',), ("[1, {\"b\":1,\"b\":[2]}]",), ("{",), ("NaN",), ('{"a":NaN,"a":1}',), (None,), ("3",)]
+    df = spark.createDataFrame(rows, "j string")
+    assert [r[0] for r in df.select(last_keys(F.col("j"))).collect()] == ['{"content":{"text":"y"}}', '{"a":2}', '[1,{"b":[2]}]', None, None, None, None, "3"]
+    assert [(r["column"], r["n"]) for r in validation.invalid_json(df, ["j"]).collect()] == [("j", 3)]
+    assert [r[0] for r in df.select(message_text(F.col("j"))).collect()][:2] == ["y", ""]

@@ -50,3 +50,19 @@ def unknown_fields(text: Column, known: set[str]) -> Column:
         return texts.map(lambda t: _or_none(t, lambda v: canonical({k: x for k, x in v.items() if k not in kept}) if isinstance(v, dict) else "{}"))
 
     return make(text)
+
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+def last_keys(text: Column) -> Column:
+    """JSON text that Spark's variants take: the text itself, or, where an object repeats a key, its canonical form, in which the
+    last of equal keys counts; null if it isn't JSON. Python sees only what variants refuse."""
+    strict = F.try_parse_json(text).isNotNull()
+
+    @F.pandas_udf("string")
+    def settle(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _or_none(t, lambda _: canonical(json.loads(t, parse_constant=_refuse))))
+
+    return F.when(strict, text).otherwise(settle(F.when(~strict, text)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadloom.functions.canonical import last_keys
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -83,7 +85,7 @@ def record_kind(path: Column) -> Column:
 
 def native_id(kind: Column, raw: Column) -> Column:
     """The first text among the keys that hold a record's id; keys depend on the kind."""
-    record = F.try_parse_json(raw)
+    record = F.try_parse_json(last_keys(raw))
     text = lambda key: F.when(F.schema_of_variant(F.try_variant_get(record, f"$.{key}", "variant")) == "STRING", F.try_variant_get(record, f"$.{key}", "string"))
     return F.when(kind == "library_file", text("file_id")).when(kind == "message_feedback", F.coalesce(text("id"), text("message_id"))).when(kind.isin("conversation", "shared_conversation"), F.coalesce(text("id"), text("conversation_id"))).otherwise(text("id"))
 
@@ -156,9 +158,9 @@ def validity(valid_from: Column, valid_until: Column, as_of: str, superseded: Co
 
 def message_text(raw: Column) -> Column:
     """The text of a message's JSON: content.text, then the parts that are texts or have one, joined by line ends; empty ones
-    count. Anything without content gives an empty text."""
+    count; of repeated keys the last one does. Anything without content gives an empty text."""
     kind = lambda v: F.schema_of_variant(v)
-    record = F.try_parse_json(raw)
+    record = F.try_parse_json(last_keys(raw))
     own = F.try_variant_get(record, "$.content.text", "variant")
     parts = F.coalesce(F.try_variant_get(record, "$.content.parts", "array<variant>"), F.array().cast("array<variant>"))
     part = lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")).when(kind(F.try_variant_get(v, "$.text", "variant")) == "STRING", F.try_variant_get(v, "$.text", "string"))

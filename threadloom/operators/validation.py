@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.functions.canonical import canonical_hash
+from threadloom.functions.canonical import canonical_hash, last_keys
 from threadloom.functions.text import message_text
 
 
@@ -36,8 +36,8 @@ def count_closure(declared: DataFrame, actual: DataFrame, key: str, declared_col
 
 
 def invalid_json(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, n: values that are neither null nor JSON."""
-    bad = [F.count_if(F.col(c).isNotNull() & F.try_parse_json(c).isNull()).alias(c) for c in columns]
+    """column, n: values that are neither null nor JSON. Objects that repeat a key are JSON."""
+    bad = [F.count_if(F.col(c).isNotNull() & last_keys(F.col(c)).isNull()).alias(c) for c in columns]
     return rows.agg(*bad).unpivot([], list(columns), "column", "n").where("n > 0")
 
 
@@ -221,7 +221,7 @@ def store_faults(assets: DataFrame, files: DataFrame, *, prefix: str = "assets/s
 def ndjson_closure(declared: DataFrame, lines: DataFrame, *, file: str = "file", line: str = "value") -> DataFrame:
     """file, fault, n between files that a manifest declares (file, records) and their lines: missing, undeclared, records
     (another number of lines), invalid (lines that are no JSON objects)."""
-    shape = F.schema_of_variant(F.try_parse_json(line))
+    shape = F.schema_of_variant(F.try_parse_json(last_keys(F.col(line))))
     found = lines.groupBy(file).agg(F.count("*").alias("found"), F.count_if(~F.coalesce(F.startswith(shape, F.lit("OBJECT")), F.lit(False))).alias("invalid"))
     both = declared.select(file, F.col("records").alias("records")).join(found, file, "full_outer")
     faults = F.array(

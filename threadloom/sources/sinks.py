@@ -61,8 +61,10 @@ def render_conversations(messages: DataFrame, *, thread: str, order: str, role:
 
 
 def markdown_table(rows: DataFrame, title: str, most: int = 1000) -> str:
-    """A report's table of aggregates, most rows at most."""
+    """A report's table of aggregates; more than `most` rows are an error, as a report is for reading."""
     names = rows.columns
-    found = rows.limit(most).collect()
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{title}: more than {most} rows")
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
     return "\n".join([f"## {title}", "", f"| {' | '.join(names)} |", f"|{'---|' * len(names)}", *[f"| {' | '.join(cell(r[n]) for n in names)} |" for r in found], ""])
