@@ -26,6 +26,9 @@ STREAM_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # many small stores: each would set aside 4 MB for its manifest
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # all stores of an executor together
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -233,8 +236,10 @@ def sale_events(lines: DataFrame, vendors: DataFrame, items: DataFrame, *, first
     lines = lines.select("item_id", "vendor_id", day.cast("int").alias("day"), delay.alias("delay"), own.alias("own"), quantity.alias("quantity"))
     nation = vendors.where("vendor_id IS NOT NULL").groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id"))
     price = items.where("item_id IS NOT NULL").groupBy(F.col("item_id").alias("known")).agg(F.min("price").alias("price"))
-    # vendors and items grow with the lines: they aren't broadcast at any size
-    joined = lines.join(nation.hint("merge"), "vendor_id", "left").join(price.hint("merge"), F.col("item_id") == F.col("known"), "left")
+    # vendors and items grow with the lines: they aren't broadcast at any size; written, each is a plain side of a join, whose
+    # large keys adaptive execution can split
+    nation, price = shared_table(nation, "nations").hint("merge"), shared_table(price, "prices").hint("merge")
+    joined = lines.join(nation, "vendor_id", "left").join(price, F.col("item_id") == F.col("known"), "left")
     joined = joined.withColumn("day", F.col("day").cast("long")).withColumn("arrival_day", F.col("day") + F.col("delay"))
     cents = F.coalesce("own", (F.col("quantity") * F.floor(F.col("price") * 100 + 0.5)).cast("double"))
     cents = F.when(F.isnan(cents), 0.0).otherwise(cents)
