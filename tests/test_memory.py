@@ -127,3 +127,28 @@ def test_session_stream_is_idempotent(spark, tmp_path):
     (logs / "b.jsonl").write_text('{"type":"message","id":"b","message":{"role":"user","content":"y"}}\n')
     sessions.append_sessions(spark, str(logs), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["a", "b"]
+
+
+def test_agent_search_in_one_result(spark):
+    from threadloom.operators import recall
+
+    messages = [("c", f"m{i}", "user" if i % 2 == 0 else "assistant", f"Title {i}", float(i), "x" * (300 * i) + " needle " + "y" * 2000) for i in range(6)] + [("d", "m9", "user", "Needle here", None, None), ("c", "gone", "user", "t", 9.0, "needle off the branch")]
+    df = spark.createDataFrame(messages, "conversation_id string, message_id string, role string, title string, create_time double, text string")
+    branch = df.where("message_id <> 'gone'").select("conversation_id", "message_id")
+    log = [("m5", 1, "excluded", None, None), ("m5", 2, "restored", None, None), ("m4", 3, "excluded", None, None), ("m3", 4, "quoted", "2024-01-01", "2024-02-01"), ("m2", 5, "corrected", None, "2023-01-01"), ("m0", 6, "outdated", None, None)]
+    feedback = spark.createDataFrame(log, "message_id string, entry int, action string, valid_from string, valid_until string")
+    rows = recall.agent_search(df, branch, feedback, "Needle", as_of="2024-01-15", role="all", per_thread=20, limit=20, budget_chars=3000).orderBy("rank").collect()
+    left, want = 3000, []
+    for _, m, _, _, _, text in sorted((x for x in messages if x[1] not in ("gone", "m4")), key=lambda x: (-(x[4] or 0), x[1])):
+        if left <= 0:
+            break
+        size = min(1400, left)
+        start = max(0, (text or "").lower().find("needle") - size // 4)
+        part = (text or "")[start : start + size]
+        want.append((m, start, part, len(text or ""), start > 0 or len(text or "") > size))
+        left -= len(part)
+    assert [(r.message_id, r.text_offset, r.text, r.text_length, r.truncated) for r in rows] == want and len(want) == 3
+    every = {r.message_id: r for r in recall.agent_search(df, branch, feedback, "needle", as_of="2024-01-15", role="all", per_thread=20, limit=20, budget_chars=40_000).collect()}
+    assert {m: (r.evidence_status, r.temporal_status) for m, r in every.items()} == {"m0": ("outdated", "outdated"), "m1": ("assistant_response", "historical_unverified"), "m2": ("corrected", "expired"), "m3": ("quoted_material", "within_user_stated_period"), "m5": ("assistant_response", "historical_unverified"), "m9": ("user_message", "historical_unverified")}
+    assert every["m3"].citation_label == recall.LABELS["quoted_material"] + "Title 3" and every["m2"].evidence_note == recall.NOTES["corrected"] and every["m9"].reader_url.endswith("/?source=m9")
+    assert recall.agent_search(df.limit(0), branch, feedback, "needle", as_of="2024-01-15").collect() == []

@@ -400,6 +400,37 @@ def branch_walk(spark, d):
     return graph.current_branches(nodes, tips, group="conv_id", node="turn", parent="parent", tip="tip")
 
 
+_ACTIONS = {"view": "restored", "click": "quoted", "signup": "outdated", "error": "corrected", "purchase": "excluded"}
+_ACTION_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ACTIONS.items()) + " END"
+_AGENT = _WALK + f""", tip AS (SELECT conv_id, max(turn) AS turn FROM t GROUP BY 1),
+w(conv_id, turn, parent) AS (SELECT t.conv_id, t.turn, t.parent FROM t JOIN tip ON t.conv_id = tip.conv_id AND t.turn = tip.turn UNION ALL SELECT t.conv_id, t.turn, t.parent FROM t JOIN w ON t.conv_id = w.conv_id AND t.turn = w.parent),
+said AS (SELECT user_id || '-' || (event_id % 8) AS id, event_id, {_ACTION_SQL} AS action, strftime(ts, '%Y-%m-%d') AS since FROM events),
+fb AS (SELECT id, arg_max(action, event_id) AS action, arg_max(since, event_id) AS since FROM said GROUP BY id),
+m AS (SELECT c.conv_id, c.conv_id || '-' || c.turn AS id, c.role, 'conversation ' || c.conv_id AS title, CAST(100 * c.conv_id + c.turn AS DOUBLE) AS made, c.text FROM conversations c JOIN w ON c.conv_id = w.conv_id AND c.turn = w.turn WHERE c.role IN ('user', 'assistant')),
+hit AS (SELECT m.*, fb.action, fb.since FROM m LEFT JOIN fb ON fb.id = m.id AND fb.action <> 'restored' WHERE (contains(lower(text), 'tion') OR contains(lower(title), 'tion')) AND coalesce(fb.action, '') <> 'excluded'),
+best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY contains(lower(text), 'tion') DESC, role = 'user' DESC, made DESC, id) <= 2 ORDER BY made DESC, id LIMIT 20),
+n AS (SELECT *, row_number() OVER (ORDER BY made DESC, id) AS rank, position('tion' IN lower(text)) - 1 AS found FROM best),
+fold(rank, left_, begin, part) AS (SELECT CAST(0 AS BIGINT), 6000, 0, '' UNION ALL
+  SELECT n.rank, left_ - length(substring(n.text, greatest(0, found - least(1400, left_) // 4) + 1, least(1400, left_))), greatest(0, found - least(1400, left_) // 4), substring(n.text, greatest(0, found - least(1400, left_) // 4) + 1, least(1400, left_)) FROM fold JOIN n ON n.rank = fold.rank + 1 WHERE left_ > 0)
+SELECT CAST(n.rank AS INTEGER) AS rank, n.id AS message_id, n.role, CAST(f.begin AS INTEGER) AS text_offset, f.part AS text, length(n.text) AS text_length, f.begin > 0 OR length(n.text) > length(f.part) + f.begin AS truncated,
+  CASE WHEN action = 'quoted' THEN 'quoted_material' WHEN action IN ('outdated', 'corrected') THEN action WHEN role = 'assistant' THEN 'assistant_response' ELSE 'user_message' END AS evidence_status,
+  CASE WHEN action = 'quoted' THEN '{recall.LABELS['quoted_material']}' WHEN role = 'assistant' THEN '{recall.LABELS['assistant_response']}' ELSE '{recall.LABELS['user_message']}' END || title AS citation_label,
+  CASE WHEN action = 'outdated' THEN 'outdated' WHEN since > '2024-01-15' THEN 'future' WHEN since IS NOT NULL THEN 'within_user_stated_period' ELSE 'historical_unverified' END AS temporal_status
+FROM n JOIN fold f ON f.rank = n.rank"""
+
+
+@query(_AGENT)
+def agent_search(spark, d):
+    nodes, tips = _tree(spark, d)
+    key = lambda turn: F.concat_ws("-", "conv_id", turn).alias("message_id")
+    branch = graph.current_branches(nodes, tips, group="conv_id", node="turn", parent="parent", tip="tip").select("conv_id", key("turn"))
+    rows = table(spark, d, "conversations").select("conv_id", key("turn"), "role", "text", F.concat(F.lit("conversation "), "conv_id").alias("title"), (F.col("conv_id") * 100 + F.col("turn")).cast("double").alias("create_time"))
+    action = F.create_map(*[F.lit(x) for pair in _ACTIONS.items() for x in pair])[F.col("event_type")]
+    log = table(spark, d, "events").select(F.concat_ws("-", "user_id", F.col("event_id") % 8).alias("message_id"), F.col("event_id").alias("entry"), action.alias("action"), F.date_format("ts", "yyyy-MM-dd").alias("valid_from"), F.lit(None).cast("string").alias("valid_until"))
+    found = recall.agent_search(rows, branch, log, "Tion", as_of="2024-01-15", thread="conv_id", role="all", per_thread=2, limit=20)
+    return found.select("rank", "message_id", "role", "text_offset", "text", "text_length", "truncated", "evidence_status", "citation_label", "temporal_status")
+
+
 @query(_WALK + " SELECT conv_id, count(*) AS branch_points, CAST(sum(n - 1) AS BIGINT) AS alternatives FROM (SELECT conv_id, parent, count(*) AS n FROM t WHERE parent IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1")
 def branch_points(spark, d):
     return graph.branch_points(_tree(spark, d)[0], group="conv_id", parent="parent")
