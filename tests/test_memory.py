@@ -152,3 +152,16 @@ def test_agent_search_in_one_result(spark):
     assert {m: (r.evidence_status, r.temporal_status) for m, r in every.items()} == {"m0": ("outdated", "outdated"), "m1": ("assistant_response", "historical_unverified"), "m2": ("corrected", "expired"), "m3": ("quoted_material", "within_user_stated_period"), "m5": ("assistant_response", "historical_unverified"), "m9": ("user_message", "historical_unverified")}
     assert every["m3"].citation_label == recall.LABELS["quoted_material"] + "Title 3" and every["m2"].evidence_note == recall.NOTES["corrected"] and every["m9"].reader_url.endswith("/?source=m9")
     assert recall.agent_search(df.limit(0), branch, feedback, "needle", as_of="2024-01-15").collect() == []
+
+
+def test_profile_dates_and_observed_statements(spark):
+    confirmed = spark.createDataFrame([(f"m{i}", f"s{i}", "plan") for i in range(7)], "message_id string, statement string, kind string")
+    none = spark.createDataFrame([], "message_id string, quote string, kind string, created_at string")
+    messages = spark.createDataFrame([(f"m{i}",) for i in range(7)], "message_id string")
+    log = [("m1", 1, "corrected", "2024-01-01", "2024-02-01"), ("m2", 2, "corrected", None, "2023-12-31"), ("m3", 3, "corrected", "2024-02-01", None), ("m4", 4, "outdated", "2024-01-01", None), ("m5", 5, "excluded", None, None), ("m6", 6, "quoted", "2024-01-01", None), ("m6", 7, "restored", "2024-01-01", None)]
+    feedback = spark.createDataFrame(log, "message_id string, id int, action string, valid_from string, valid_until string")
+    got = {r.message_id: (r.state, r.temporal_status) for r in memory.profile(confirmed, none, messages, feedback, as_of="2024-01-15").collect()}
+    assert got == {"m0": ("current", "historical_unverified"), "m1": ("historical", "within_user_stated_period"), "m2": ("historical", "expired"), "m3": ("historical", "future"), "m4": ("historical", "outdated"), "m6": ("current", "historical_unverified")}
+    said = spark.createDataFrame([(f"m{i}", "I prefer tea.", float(i)) for i in range(7)] + [("m8", None, 1.0), ("m9", "I PREFER  tea.", None)], "message_id string, text string, create_time double")
+    (group,) = memory.observed_profile(said, feedback.withColumnRenamed("id", "entry")).collect()
+    assert (group.n_sources, [tuple(x) for x in group.sources], group.newest) == (4, [("m6", None), ("m4", "outdated"), ("m0", None)], 6.0)

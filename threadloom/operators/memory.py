@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import collapse_space
+from threadloom.functions.text import collapse_space, validity
 from threadloom.operators.snapshots import insert_if_absent
 
 #: The patterns of the kinds, in the order in which they are tried; the first that matches names the kind.
@@ -172,17 +172,35 @@ def remember(assertions: DataFrame, messages: DataFrame, message_id: str, quote:
     return assertions.unionByName(insert_if_absent(assertions, new, ["message_id", "quote"]))
 
 
-def profile(confirmed: DataFrame, assertions: DataFrame, messages: DataFrame, feedback: DataFrame) -> DataFrame:
+def profile(confirmed: DataFrame, assertions: DataFrame, messages: DataFrame, feedback: DataFrame, *, as_of: str | None = None) -> DataFrame:
     """message_id, statement, kind, status, state: confirmed candidates and remembered quotes of visible messages, each
     message and wording once, confirmed ones first. state is current, or historical where the last feedback on the message
-    says more than `restored`; excluded messages are left out."""
+    says more than `restored`; excluded messages are left out. With a day as_of, historical ones get temporal_status, where the
+    feedback's valid_from and valid_until (ISO days) put them on that day; others are historical_unverified."""
     one = confirmed.select("message_id", "statement", "kind", F.lit("confirmed").alias("status"), F.lit(0).alias("rank"))
     two = assertions.select("message_id", F.col("quote").alias("statement"), "kind", F.lit("user_requested").alias("status"), F.lit(1).alias("rank"))
     order = Window.partitionBy("message_id", "statement").orderBy("rank", "kind")
     rows = one.unionByName(two).withColumn("n", F.row_number().over(order)).where("n = 1").join(messages.select("message_id").distinct(), "message_id", "left_semi")
-    last = feedback.groupBy("message_id").agg(F.max_by("action", "id").alias("action"))
+    dated = [c if c in feedback.columns else F.lit(None).cast("string").alias(c) for c in ("valid_from", "valid_until")]
+    last = feedback.select("message_id", "id", "action", *dated).groupBy("message_id").agg(F.max_by(F.struct("action", "valid_from", "valid_until"), "id").alias("f")).select("message_id", "f.*")
     rows = rows.join(last, "message_id", "left").where("action IS NULL OR action <> 'excluded'")
-    return rows.select("message_id", "statement", "kind", "status", F.when(F.col("action").isNull() | (F.col("action") == "restored"), "current").otherwise("historical").alias("state"))
+    said = F.coalesce(F.col("action") != "restored", F.lit(False))
+    stands = [validity(F.when(said, F.col("valid_from")), F.when(said, F.col("valid_until")), as_of, said & (F.col("action") == "outdated")).alias("temporal_status")] if as_of else []
+    return rows.select("message_id", "statement", "kind", "status", F.when(said, "historical").otherwise("current").alias("state"), *stands)
+
+
+#: What a user says of a message that takes it out of the profile.
+NOT_OWN = ("excluded", "quoted", "corrected")
+
+
+def observed_profile(messages: DataFrame, feedback: DataFrame, *, message: str = "message_id", text_col: str = "text", time_col: str = "create_time", keep_sources: int = 3) -> DataFrame:
+    """kind, norm, statement, n_sources, sources (message, action), newest: what users said of themselves, equal statements as one
+    group, from messages of which the last feedback (message, entry, action) isn't one of NOT_OWN; any other word but restored
+    is told beside the source. greedy_budget takes from these groups, newest first, what a profile has room for."""
+    last = feedback.groupBy(message).agg(F.max_by("action", "entry").alias("action")).where("action <> 'restored'")
+    own = messages.join(last, message, "left").where(F.col("action").isNull() | ~F.col("action").isin(*NOT_OWN))
+    said = explicit_statements(own, text_col=text_col).withColumn("source", F.struct(F.col(message).alias("message"), F.col("action")))
+    return consolidate(said, kind="kind", text_col="statement", source="source", time_col=time_col, keep_sources=keep_sources)
 
 
 def greedy_budget(groups: DataFrame, text_col: str, budget_chars: int = 6000, most: int = 30) -> list[dict]:

@@ -431,6 +431,24 @@ def agent_search(spark, d):
     return found.select("rank", "message_id", "role", "text_offset", "text", "text_length", "truncated", "evidence_status", "citation_label", "temporal_status")
 
 
+@query(f"""
+WITH said AS (SELECT user_id || '-' || (event_id % 8) AS id, arg_max({_ACTION_SQL}, event_id) AS action FROM events GROUP BY 1),
+w AS (SELECT conv_id || '-' || turn AS id, 100 * conv_id + turn AS made, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM conversations WHERE role = 'user'),
+s AS (SELECT id, made, 'I prefer ' || w[1] || '.' AS statement FROM w WHERE len(w) > 1 UNION ALL SELECT id, made, 'I plan to ' || w[2] || '!' FROM w WHERE len(w) > 1),
+k AS (SELECT s.*, action, CASE WHEN statement LIKE 'I prefer%' THEN 'preference' ELSE 'plan' END AS kind FROM s LEFT JOIN said ON said.id = s.id AND action <> 'restored' WHERE coalesce(action, '') NOT IN ('excluded', 'quoted', 'corrected') AND length(statement) BETWEEN 6 AND 300),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind, statement ORDER BY made DESC, id) AS n, count(*) OVER (PARTITION BY kind, statement) AS all_ FROM k)
+SELECT kind, statement, max(all_) AS n_sources, string_agg(id || coalesce(':' || action, ''), ',' ORDER BY n) FILTER (n <= 3) AS sources, CAST(max(made) AS DOUBLE) AS newest FROM r GROUP BY kind, statement""")
+def observed_profile(spark, d):
+    w = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ")
+    rows = table(spark, d, "conversations").where("role = 'user'").withColumn("w", w).where(F.size("w") > 1)
+    spoken = F.concat(F.lit("I prefer "), F.col("w")[0], F.lit(". I plan to "), F.col("w")[1], F.lit("!"))
+    rows = rows.select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), spoken.alias("text"), (F.col("conv_id") * 100 + F.col("turn")).alias("create_time"))
+    action = F.create_map(*[F.lit(x) for pair in _ACTIONS.items() for x in pair])[F.col("event_type")]
+    log = table(spark, d, "events").select(F.concat_ws("-", "user_id", F.col("event_id") % 8).alias("message_id"), F.col("event_id").alias("entry"), action.alias("action"))
+    listed = F.array_join(F.transform("sources", lambda x: F.concat(x["message"], F.coalesce(F.concat(F.lit(":"), x["action"]), F.lit("")))), ",")
+    return memory.observed_profile(rows, log).select("kind", "statement", "n_sources", listed.alias("sources"), "newest")
+
+
 @query(_WALK + " SELECT conv_id, count(*) AS branch_points, CAST(sum(n - 1) AS BIGINT) AS alternatives FROM (SELECT conv_id, parent, count(*) AS n FROM t WHERE parent IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1")
 def branch_points(spark, d):
     return graph.branch_points(_tree(spark, d)[0], group="conv_id", parent="parent")
