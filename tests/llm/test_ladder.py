@@ -1,5 +1,6 @@
 """The leaderboard feed against a plain replay, and the ladder against sorting."""
 
+import glob
 import random
 import zlib
 from datetime import datetime, timedelta
@@ -60,6 +61,14 @@ def test_feed_equals_a_replay(spark):
     assert sorted(tuple(r) for r in got) == want and {r[4] for r in want} == {"enter", "exit", "move"}
 
 
+def test_no_state_store_stays_open(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())
+    stores = lambda: set(glob.glob(f"{local}/StateStoreId*"))  # noqa: E731  a store's own folder goes when it is closed
+    before = stores()
+    events = [(1, i, 100 + 10 * b, 100 + 10 * b, b, 100.0) for b in (1, 2, 3) for i in range(20)]
+    assert ladder.change_feed(spark.createDataFrame(events, EVENT), batches=3, shards=3).count() and stores() == before
+
+
 def test_no_events(spark):
     assert ladder.change_feed(spark.createDataFrame([], EVENT), batches=2).collect() == []
 
