@@ -95,3 +95,84 @@ def test_counts_never_part_linked_sets():
     assert counts.sum() == sum(map(len, sets))
     label = jaccard.chains(counts, np.array([len(s) for s in sets]), 80, 100)
     assert label[0] == label[1] != label[2]
+
+
+def test_a_region_that_cells_do_not_part_is_compared_itself(spark, monkeypatch):
+    """Changed copies of one text, as far from each other as from any pivot: each lies in most cells."""
+    r = random.Random(11)
+    words = ["w%d" % i for i in range(5000)]
+    base, rows, chunked = r.choices(words, k=200), [], []
+    for i in range(64):
+        w = list(base)
+        for _ in range(2 if i % 4 == 0 else 9):
+            w[r.randrange(len(w))] = r.choice(words)
+        rows.append((i, " ".join(w)))
+    write = jaccard.shared_table
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "jaccard-chunks":
+            chunked.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "shared_table", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.jaccard_components(docs, words=5, percent=80, region_rows=16, split_pivots=8)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found.collect()}
+    assert got == brute(rows, 5, 80)
+    # each of a region's members is in as many pairs of chunks as there are chunks of 8; members share a few regions
+    assert 0 < sum(chunked) <= 10 * 64 * 8
+
+
+def test_links_of_many_sets_at_once_equal_those_of_pairs(monkeypatch):
+    """Elements that many sets have, that a few have, and that one has; blocks of any size, and links across two sides."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 16)
+    monkeypatch.setattr(jaccard, "BLOCK_PAIRS", 50)
+    r = random.Random(2)
+    for n in (2, 40, 150):
+        sets = []
+        for i in range(n):
+            own = set(range(i % 3 * 100, i % 3 * 100 + 60)) | {1000 + (i // 5) * 20 + j for j in range(r.randint(0, 20))}
+            sets.append(np.array(sorted(x for x in own | {10**6 + i} if r.random() > 0.04), np.uint64))
+        want, up = np.zeros((n, n), int), list(range(n))
+        for i in range(n):
+            for j in range(n):
+                want[i, j] = len(np.intersect1d(sets[i], sets[j]))
+        rows, columns = np.arange(0, n, 2), np.arange(n // 3, n)
+        other = rows[:, None] != columns[None, :]
+        assert (jaccard.Region(sets).commons(rows, columns) == want[np.ix_(rows, columns)])[other].all()
+        side = np.arange(n) % 2 == 0
+
+        def label(asked, up=up, want=want, sets=sets, n=n):
+            up = list(up)
+            for i in range(n):
+                for j in range(i):
+                    if asked(i, j) and 100 * want[i, j] >= 85 * (len(sets[i]) + len(sets[j]) - want[i, j]):
+                        a, b = sorted((up[i], up[j]))
+                        up = [a if x == b else x for x in up]
+            return up
+
+        every = jaccard.connect(sets, 85, 100)
+        assert {tuple(np.flatnonzero(every == x)) for x in every} == {tuple(np.flatnonzero(np.array(label(lambda i, j: True)) == x)) for x in label(lambda i, j: True)}
+        across = jaccard.connect(sets, 85, 100, side)
+        least = np.array(label(lambda i, j, side=side: side[i] != side[j]))
+        assert all(len({int(every[i]) for i in np.flatnonzero(across == x)}) == 1 for x in across)  # nothing that isn't linked
+        assert all(len({int(across[i]) for i in np.flatnonzero(least == x)}) == 1 for x in least)  # all that links across join
+
+
+def test_chains_equal_those_of_all_pairs():
+    r = np.random.default_rng(4)
+    kinds = r.integers(0, 6, (5, jaccard.COUNTS))
+    counts = np.stack([np.maximum(0, kinds[i % 5] + (r.random(jaccard.COUNTS) < 0.06 * (i % 4))) for i in range(90)]).astype(np.uint8)
+    sizes = counts.sum(axis=1).astype(np.int64)
+    up = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            apart = np.abs(counts[i].astype(int) - counts[j]).sum()
+            if apart * 195 <= (sizes[i] + sizes[j]) * 5 and 95 * max(sizes[i], sizes[j]) <= 100 * min(sizes[i], sizes[j]):
+                a, b = sorted((up[i], up[j]))
+                up = [a if x == b else x for x in up]
+    got = jaccard.chains(counts, sizes, 95, 100)
+    assert len(set(up)) > 5
+    assert {tuple(np.flatnonzero(got == x)) for x in got} == {tuple(np.flatnonzero(np.array(up) == x)) for x in up}

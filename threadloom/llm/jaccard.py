@@ -15,8 +15,9 @@ that pivots alone can't part them. The join therefore has two levels:
    differ by more than the radius, or that are connected already, need no comparison; all others are compared exactly.
    A region with more than `region_rows` members is first split: its members go to the Voronoi cell of their nearest pivot
    and, by the triangle inequality, as boundary members to each cell that is at most twice the radius farther away; cells
-   split again until they are small. What doesn't split (members that lie closer together than the radius) is compared
-   chunk against chunk, each pair of chunks a task of bounded size.
+   split again until they are small. A region whose cells would take as long to compare as itself (members that lie closer
+   together than the radius, or all as far from each other) isn't split: it is compared chunk against chunk, each pair of
+   chunks a task of bounded size.
 
 Sets are of 64-bit hashes of shingles. Texts, never prefixes, are read for the regions' members only.
 """
@@ -41,8 +42,10 @@ PIVOTS = 8
 SPLIT_PIVOTS = 48
 ELEMENTS = 500
 COUNTS = 128
-#: Cells go on splitting while the rows in those that are too large fall to this share.
+#: A region is split if its cells have this share of its pairs at most.
 LEAST_PROGRESS = 0.7
+#: Members and elements in one product of sets' tables, and pairs of equal elements that are listed at once.
+BLOCK_ROWS, BLOCK_ELEMENTS, BLOCK_PAIRS = 256, 2048, 1 << 21
 
 
 def band_edges(largest: int, num: int, den: int) -> list[int]:
@@ -114,7 +117,7 @@ def part_keys(elements: np.ndarray, begins: np.ndarray, num: int, den: int) -> t
 
 
 class Region:
-    """The sets of some members, with intersections of one with all others."""
+    """The sets of some members, with intersections of one or some with all others."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], np.int64)
@@ -122,51 +125,120 @@ class Region:
         self.owner = np.repeat(np.arange(len(sets)), self.sizes)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
         self.mark = np.zeros(int(self.ids.max(initial=0)) + 1, bool)
+        self.often = None
 
-    def common(self, i: int, among: np.ndarray | None = None) -> np.ndarray:
-        """Sizes of the intersections of set i with all sets, or with those of among."""
+    def common(self, i: int) -> np.ndarray:
+        """Sizes of the intersections of set i with all sets."""
         own = self.ids[self.begins[i] : self.begins[i + 1]]
         self.mark[own] = True
-        if among is None or self.sizes[among].sum() * 2 > len(self.ids):
-            out = np.bincount(self.owner[self.mark[self.ids]], minlength=len(self.sizes))
-            out = out if among is None else out[among]
-        else:
-            at = np.concatenate([np.arange(self.begins[j], self.begins[j + 1]) for j in among])
-            out = np.bincount(np.repeat(np.arange(len(among)), self.sizes[among])[self.mark[self.ids[at]]], minlength=len(among))
+        out = np.bincount(self.owner[self.mark[self.ids]], minlength=len(self.sizes))
         self.mark[own] = False
         return out
 
+    def _prepare(self) -> None:
+        """Elements that many sets have are columns of a table; of others that are in two sets or more, these are listed."""
+        m = len(self.sizes)
+        n = np.bincount(self.ids)
+        often = n > max(1, m // 16)
+        column = np.cumsum(often) - 1
+        self.often = np.zeros((m, int(often.sum())), np.uint8)
+        at = often[self.ids]
+        self.often[self.owner[at], column[self.ids[at]]] = 1
+        at = np.flatnonzero(~at & (n[self.ids] > 1))
+        self.few, self.few_begins = self.ids[at], np.searchsorted(self.owner[at], np.arange(m + 1))
+        order = np.argsort(self.few, kind="stable")
+        self.few_owner, self.element_begins = self.owner[at][order], np.concatenate([[0], np.cumsum(np.bincount(self.few, minlength=len(n)))])
+        self.few_pairs = np.concatenate([[0], np.cumsum(np.diff(self.element_begins)[self.few])])
+
+    def commons(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of sets `rows` with other sets, `columns` (of a set with itself, only what others have too)."""
+        if self.often is None:
+            self._prepare()
+        m = len(self.sizes)
+        product = np.zeros((len(rows), len(columns)), np.float32)
+        for a in range(0, self.often.shape[1], BLOCK_ELEMENTS):
+            own = self.often[rows, a : a + BLOCK_ELEMENTS].astype(np.float32)
+            product += own @ self.often[columns, a : a + BLOCK_ELEMENTS].astype(np.float32).T
+        out = product.astype(np.int64)
+        pairs = self.few_pairs[self.few_begins[rows + 1]] - self.few_pairs[self.few_begins[rows]]
+        total, a = np.cumsum(pairs), 0
+        while a < len(rows):  # so many pairs at a time, or those of one set
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + BLOCK_PAIRS, "right")))
+            low, high = self.few_begins[rows[a:b]], self.few_begins[rows[a:b] + 1]
+            element = self.few[_ranges(low, high)]
+            begin, end = self.element_begins[element], self.element_begins[element + 1]
+            if len(element):
+                row = np.repeat(np.repeat(np.arange(b - a), high - low), end - begin)
+                found = np.bincount(row * m + self.few_owner[_ranges(begin, end)], minlength=(b - a) * m)
+                out[a:b] += found.reshape(b - a, m)[:, columns]
+            a = b
+        return out
+
+
+def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All whole numbers from each of begins to before its end."""
+    n = ends - begins
+    return np.arange(n.sum()) + np.repeat(begins - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, np.int64)
+
+
+class Labels:
+    """A label for each of m members, equal for those that are joined."""
 
-def connect(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """A label for each set, equal for sets that links connect."""
+    def __init__(self, m: int):
+        self.label = np.arange(m)
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        if len(others):
+            old = np.unique(np.append(self.label[others], self.label[i]))
+            if len(old) > 1:
+                self.label[np.isin(self.label, old)] = old[0]
+
+    def undecided(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(members, others): blocks of members that are compared with others, so that every pair that isn't joined is asked.
+
+        One of such a pair at least isn't joined to the largest group; what joins that meanwhile isn't asked for itself."""
+        label, done = self.label, np.zeros(len(self.label), bool)
+        names, first, n = np.unique(label, return_index=True, return_counts=True)
+        most = first[np.argmax(n)]
+        for i in range(0, len(rest := np.flatnonzero(label != label[most])), size):
+            rows = rest[i : i + size]
+            rows = rows[label[rows] != label[most]]
+            if len(rows):
+                yield rows, np.flatnonzero(~done)
+                done[rows] = True
+
+
+def connect(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
+    """A label for each set, equal for sets that links connect. side: links of sets of one side needn't all be found."""
     m = len(sets)
-    label = np.arange(m)
+    labels = Labels(m)
     if m < 2:
-        return label
+        return labels.label
     region = Region(sets)
     sizes, radius = region.sizes, 1 - num / den + 1e-9
-
-    def join(i: int, others: np.ndarray) -> None:
-        if len(others):
-            old = np.unique(np.append(label[others], label[i]))
-            label[np.isin(label, old)] = old[0]
-
     far = []
     for p in np.unique(np.linspace(0, m - 1, min(m, PIVOTS)).astype(int)):
         both = region.common(p)
         either = sizes + sizes[p] - both
         far.append(1 - both / np.maximum(either, 1))
-        join(p, np.flatnonzero(den * both >= num * either))
+        labels.join(p, np.flatnonzero(den * both >= num * either))
     far = np.array(far)
-    for i in range(m):
-        ok = (label[i + 1 :] != label[i]) & (num * np.maximum(sizes[i + 1 :], sizes[i]) <= den * np.minimum(sizes[i + 1 :], sizes[i]))
-        at = np.flatnonzero(ok) + i + 1
-        if len(at):
-            at = at[(np.abs(far[:, at] - far[:, i : i + 1]) <= radius).all(axis=0)]
-        if len(at):
-            both = region.common(i, at)
-            join(i, at[den * both >= num * (sizes[at] + sizes[i] - both)])
-    return label
+    for rows, others in labels.undecided(BLOCK_ROWS):
+        own, n = sizes[rows][:, None], sizes[others][None, :]
+        ok = (labels.label[rows][:, None] != labels.label[others][None, :]) & (num * np.maximum(n, own) <= den * np.minimum(n, own))
+        for x in far:
+            ok &= np.abs(x[rows][:, None] - x[others][None, :]) <= radius
+        if side is not None:
+            ok &= side[rows][:, None] != side[others][None, :]
+        some, asked = ok.any(axis=1), ok.any(axis=0)
+        if not some.any():
+            continue
+        rows, others, ok = rows[some], others[asked], ok[some][:, asked]
+        both = region.commons(rows, others)
+        ok &= den * both >= num * (sizes[rows][:, None] + sizes[others][None, :] - both)
+        for i in np.flatnonzero(ok.any(axis=1)):
+            labels.join(rows[i], others[ok[i]])
+    return labels.label
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -289,18 +361,20 @@ def counts_of(elements: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def chains(counts: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     """A label for each set, equal for sets that a chain of possible links joins."""
-    m, label = len(sizes), np.arange(len(sizes))
-    wide = counts.astype(np.int16)
-    for a in range(0, m, 16):
-        part = wide[a : a + 16]
-        apart = np.abs(part[:, None, :] - wide[None, :, :]).sum(axis=2, dtype=np.int64)
-        n, own = sizes[None, :], sizes[a : a + 16, None]
+    m = len(sizes)
+    labels, wide = Labels(m), counts.astype(np.int16)
+
+    def join(rows: np.ndarray, others: np.ndarray) -> None:
+        n, own = sizes[others][None, :], sizes[rows][:, None]
+        apart = np.abs(wide[rows][:, None, :] - wide[others][None, :, :]).sum(axis=2, dtype=np.int64)
         ok = (apart * (den + num) <= (n + own) * (den - num)) & (num * np.maximum(n, own) <= den * np.minimum(n, own))
-        for row in ok:
-            near = np.unique(label[row])
-            if len(near) > 1:
-                label[np.isin(label, near)] = near[0]
-    return label
+        for i, row in zip(rows, ok, strict=True):
+            labels.join(i, others[row])
+
+    join(np.unique(np.linspace(0, m - 1, min(m, PIVOTS)).astype(int)), np.arange(m))
+    for rows, others in labels.undecided(16):
+        join(rows, others)
+    return labels.label
 
 
 def _narrowed(regions: DataFrame, rows: DataFrame, num: int, den: int, region_rows: int) -> DataFrame:
@@ -333,21 +407,22 @@ def _solve(data: DataFrame, regions: DataFrame, words: int, num: int, den: int,
             if len(at) > 1:
                 yield _edges(group["id"].to_numpy()[at], connect(sets, num, den))
 
-    found, rows = [], None
+    found = []
+    if regions.count() > broadcast_rows:  # their members' texts are shuffled again and again, others only here
+        data = shared_table(data.join(checked_broadcast(shared_table(regions.select("id").distinct(), "jaccard-members"), broadcast_rows), "id", "left_semi"), "jaccard-texts")
     while True:
         sized = _sized(regions)
         near = _with_text(data, sized.where(F.col("size") <= region_rows).drop("size"), broadcast_rows)
         found.append(shared_table(near.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(small, "a long, b long"), "jaccard-edges"))
         large = sized.where(F.col("size") > region_rows)
-        left = large.count()
-        if not left:
+        if large.isEmpty():
             break
-        if rows is not None and left > rows * LEAST_PROGRESS:
-            found.append(_chunks(data, large, words, num, den, region_rows, broadcast_rows))
-            break
-        rows = left
-        more, regions = _split(data, large, words, num, den, region_rows, split_pivots, broadcast_rows)
+        more, cells = _split(data, large, words, num, den, region_rows, split_pivots, broadcast_rows)
         found.append(more)
+        apart = shared_table(_worth_splitting(large, cells), "jaccard-apart")
+        whole = large.join(checked_broadcast(apart, BROADCAST_ROWS), large["pivot"] == apart["region"], "left_anti")
+        found.append(_chunks(data, whole, words, num, den, region_rows, broadcast_rows))
+        regions = cells.join(checked_broadcast(apart, BROADCAST_ROWS), "region").select("pivot", "cls", "id", "n").distinct()
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -355,7 +430,7 @@ def _solve(data: DataFrame, regions: DataFrame, words: int, num: int, den: int,
 
 
 def _split(data: DataFrame, large: DataFrame, words: int, num: int, den: int, region_rows: int, split_pivots: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Edges to pivots, and the Voronoi cells with their boundary members as regions (pivot, cls, id).
+    """Edges to pivots, and the Voronoi cells with their boundary members (region, pivot, cls, id, n).
 
     A cell's name hashes the region's and the pivot's. Each task has a chunk of region_rows members and all pivots."""
     pivots = _least(large, split_pivots)
@@ -382,12 +457,20 @@ def _split(data: DataFrame, large: DataFrame, words: int, num: int, den: int, re
                 p, m = np.nonzero((far - far.min(axis=0) <= 2 * radius) & (far < 1))
                 name = H.mix(pids[p] ^ H.mix(np.full(len(p), region).view(U)))
                 linked = den * both[p, m] >= num * either[p, m]
-                yield pa.RecordBatch.from_arrays([pa.array(H.signed(name)), pa.array(H.signed(ids[m])), pa.array(docs[m]), pa.array(n[m]), pa.array(pivot_docs[p]), pa.array(linked)], ["pivot", "cls", "id", "n", "a", "linked"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), region)), pa.array(H.signed(name)), pa.array(H.signed(ids[m])), pa.array(docs[m]), pa.array(n[m]), pa.array(pivot_docs[p]), pa.array(linked)], ["region", "pivot", "cls", "id", "n", "a", "linked"])
                 lone = np.flatnonzero(far.min(axis=0) >= 1 - 2 * radius)  # may lie outside all pivots' reach: one more cell
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lone), H.signed(H.mix(np.array([region]).view(U)))[0])), pa.array(H.signed(ids[lone])), pa.array(docs[lone]), pa.array(n[lone]), pa.array(docs[lone]), pa.array(np.zeros(len(lone), bool))], ["pivot", "cls", "id", "n", "a", "linked"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lone), region)), pa.array(np.full(len(lone), H.signed(H.mix(np.array([region]).view(U)))[0])), pa.array(H.signed(ids[lone])), pa.array(docs[lone]), pa.array(n[lone]), pa.array(docs[lone]), pa.array(np.zeros(len(lone), bool))], ["region", "pivot", "cls", "id", "n", "a", "linked"])
+
+    out = shared_table(_with_text(data, task, broadcast_rows).repartition("task").sortWithinPartitions("task").mapInArrow(cells, "region long, pivot long, cls long, id long, n long, a long, linked boolean"), "jaccard-cells")
+    return out.where("linked").select("a", F.col("id").alias("b")), out.select("region", "pivot", "cls", "id", "n")
 
-    out = shared_table(_with_text(data, task, broadcast_rows).repartition("task").sortWithinPartitions("task").mapInArrow(cells, "pivot long, cls long, id long, n long, a long, linked boolean"), "jaccard-cells")
-    return out.where("linked").select("a", F.col("id").alias("b")), out.select("pivot", "cls", "id", "n").distinct()
+
+def _worth_splitting(large: DataFrame, cells: DataFrame) -> DataFrame:
+    """The regions (region) whose cells together have LEAST_PROGRESS of the region's pairs at most."""
+    size = F.greatest(F.count("*"), F.ceil(F.sum("n") / ELEMENTS)).cast("double")
+    after = cells.groupBy("region", "pivot").agg(size.alias("size")).groupBy("region").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+    before = large.groupBy("pivot").agg(F.first("size").cast("double").alias("size"))
+    return before.join(after, F.col("region") == F.col("pivot")).where(F.col("pairs") <= F.lit(LEAST_PROGRESS) * F.col("size") * F.col("size")).select("region")
 
 
 def _least(large: DataFrame, count: int) -> DataFrame:
@@ -397,17 +480,18 @@ def _least(large: DataFrame, count: int) -> DataFrame:
 
 
 def _chunks(data: DataFrame, large: DataFrame, words: int, num: int, den: int, region_rows: int, broadcast_rows: int) -> DataFrame:
-    """Edges of regions that cells don't part: every pair of chunks is a task."""
+    """Edges of regions that cells don't part: every pair of chunks is a task, and each chunk with itself."""
     half = max(1, region_rows // 2)
     n = F.ceil(F.col("size") / half)
     own = large.withColumn("n", n).withColumn("c", F.pmod(F.xxhash64("cls", F.lit(2)), n))
-    pairs = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("pivot", "cls", "id", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"))
+    pairs = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("pivot", "cls", "id", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), (F.col("c") < F.col("o")).alias("left"))
     task = shared_table(pairs.withColumn("task", F.xxhash64("pivot", "x", "y")), "jaccard-chunks")
 
     def compare(batches):
         for group in _groups(batches, "task"):
             _, sets, at = _members(group, words)
             if len(at) > 1:
-                yield _edges(group["id"].to_numpy()[at], connect(sets, num, den))
+                left = group["left"].to_numpy()[at]
+                yield _edges(group["id"].to_numpy()[at], connect(sets, num, den, left if left.any() and not left.all() else None))
 
-    return shared_table(_with_text(data, task.select("task", "cls", "id"), broadcast_rows).repartition("task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long"), "jaccard-chunk-edges")
+    return shared_table(_with_text(data, task.select("task", "cls", "id", "left"), broadcast_rows).repartition("task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long"), "jaccard-chunk-edges")
