@@ -176,3 +176,27 @@ def test_chains_equal_those_of_all_pairs():
     got = jaccard.chains(counts, sizes, 95, 100)
     assert len(set(up)) > 5
     assert {tuple(np.flatnonzero(got == x)) for x in got} == {tuple(np.flatnonzero(np.array(up) == x)) for x in up}
+
+
+def test_only_members_texts_are_shuffled(spark, monkeypatch):
+    """With op5's settings and more members than are broadcast: texts that share no part with others aren't taken along."""
+    r = random.Random(8)
+    words = ["w%d" % i for i in range(5000)]
+    rows = [(i, " ".join(r.choices(words, k=120))) for i in range(60)]
+    near = [rows[i % 3][1].split() for i in range(6)]
+    for i, w in enumerate(near):
+        w[7 * i + 20] = "other"
+        rows.append((60 + i, " ".join(w)))
+    write, taken = jaccard.shared_table, []
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "jaccard-texts":
+            taken.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "shared_table", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.jaccard_components(docs, words=3, percent=90, broadcast_rows=2)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found.collect()} == brute(rows, 3, 90)
+    assert len(taken) == 1 and 2 < taken[0] <= 9
